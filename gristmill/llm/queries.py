@@ -1,9 +1,10 @@
 """Queries of the corpus operators, and SQL for those that SQL can express."""
 
-from gristmill.llm import mixing, sharding
+from gristmill.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_simhash": simhash.op3_simhash,
     "op10_sharding": sharding.op10_sharding,
 }
 
