@@ -1,13 +1,16 @@
 """Queries of the corpus operators, and SQL for those that SQL can express."""
 
-from gristmill.llm import mixing, sharding, simhash
+from gristmill.llm import mixing, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op8_url_filters": urls.op8_url_filters,
+    "op9_secrets": secrets.op9_secrets,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
+    "op8_url_filters": urls.ORACLE,
 }
