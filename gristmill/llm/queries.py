@@ -1,10 +1,11 @@
 """Queries of the corpus operators, and SQL for those that SQL can express."""
 
-from gristmill.llm import mixing, secrets, sharding, simhash, urls
+from gristmill.llm import mixing, quality, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op5_quality": quality.op5_quality,
     "op8_url_filters": urls.op8_url_filters,
     "op9_secrets": secrets.op9_secrets,
     "op10_sharding": sharding.op10_sharding,
@@ -12,5 +13,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
+    "op5_quality": quality.op5_quality,
     "op8_url_filters": urls.ORACLE,
 }
