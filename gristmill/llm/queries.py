@@ -1,11 +1,12 @@
 """Queries of the corpus operators, and SQL for those that SQL can express."""
 
-from gristmill.llm import mixing, quality, secrets, sharding, simhash, urls
+from gristmill.llm import langid, mixing, quality, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
     "op5_quality": quality.op5_quality,
+    "op7_langid": langid.op7_langid,
     "op8_url_filters": urls.op8_url_filters,
     "op9_secrets": secrets.op9_secrets,
     "op10_sharding": sharding.op10_sharding,
