@@ -1,10 +1,12 @@
 """Queries of the corpus operators, and SQL for those that SQL can express."""
 
-from gristmill.llm import langid, mixing, quality, secrets, sharding, simhash, urls
+from gristmill.llm import decontam, langid, mixing, quality, secrets, sharding, simhash, tokens, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_simhash": simhash.op3_simhash,
+    "op4_token_counts": tokens.op4_token_counts,
     "op5_quality": quality.op5_quality,
     "op7_langid": langid.op7_langid,
     "op8_url_filters": urls.op8_url_filters,
@@ -14,6 +16,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
+    "op4_token_counts": tokens.op4_token_counts,
     "op5_quality": quality.op5_quality,
     "op8_url_filters": urls.ORACLE,
 }
