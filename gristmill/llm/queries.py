@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and SQL for those that SQL can express."""
 
-from gristmill.llm import decontam, langid, mixing, quality, secrets, sharding, simhash, tokens, urls
+from gristmill.llm import chat, decontam, langid, mixing, quality, secrets, sharding, simhash, tokens, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_quality": quality.op5_quality,
+    "op6_chat": chat.op6_chat,
     "op7_langid": langid.op7_langid,
     "op8_url_filters": urls.op8_url_filters,
     "op9_secrets": secrets.op9_secrets,
