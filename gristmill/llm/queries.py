@@ -1,8 +1,10 @@
 """Queries of the corpus operators, and SQL for those that SQL can express."""
 
+import corpus_pipeline
 from gristmill.llm import chat, decontam, langid, mixing, quality, secrets, sharding, simhash, tokens, urls
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_mixing": mixing.op1_mixing,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_simhash": simhash.op3_simhash,
