@@ -1,5 +1,9 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = "hll_estimate"
+from gristmill.plans import index_queries, sketch_queries
+
+_PARTS = (sketch_queries, index_queries)
+
+QUERIES: dict = {k: f for p in _PARTS for k, f in p.QUERIES.items()}
+ORACLE: dict = {k: s for p in _PARTS for k, s in p.ORACLE.items()}
+FLAGSHIP = "digest_summary"
