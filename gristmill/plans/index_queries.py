@@ -66,19 +66,19 @@ def _names(spark, d):
 
 
 def prefix_scan(spark, d):
-    return ordered.with_prefix(_names(spark, d), "part 1")
+    return ordered.with_prefix(_names(spark, d), "red w")
 
 
 def prefix_scan_limited(spark, d):
-    return ordered.with_prefix(_names(spark, d), "p", 7)
+    return ordered.with_prefix(_names(spark, d), "b", 3)
 
 
 def prefix_exists(spark, d):
-    return ordered.starts_with(_names(spark, d), "p")
+    return ordered.starts_with(_names(spark, d), "blue")
 
 
 def prefix_has_key(spark, d):
-    return ordered.has_key(_names(spark, d), "part 1")
+    return ordered.has_key(_names(spark, d), "red w")
 
 
 def prefix_count_new(spark, d):
@@ -278,7 +278,7 @@ def quadtree_leaves(spark, d):
 
 
 def quadtree_query(spark, d):
-    return quadtree.query(_points(spark, d), 10.0, 20.0, 64.0, 64.0, CAP, DEPTH).select("l_orderkey")
+    return quadtree.query(_points(spark, d), 20.0, 12.0, 64.0, 64.0, CAP, DEPTH).select("l_orderkey")
 
 
 def quadtree_delete(spark, d):
@@ -365,10 +365,10 @@ ORACLE = {
     "ordered_merge_delete": "(SELECT o_custkey AS key FROM orders UNION SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) EXCEPT SELECT s_suppkey FROM supplier",
     "ordered_extent": "SELECT count(DISTINCT o_custkey) AS size, min(o_custkey) AS first, max(o_custkey) AS last FROM orders",
     "ordered_point": "SELECT count(*) > 0 AS found FROM orders WHERE o_orderkey = 42",
-    "prefix_scan": "SELECT DISTINCT p_name AS key FROM part WHERE starts_with(p_name, 'part 1') AND p_name <> 'part 1'",
-    "prefix_scan_limited": "SELECT DISTINCT p_name AS key FROM part WHERE starts_with(p_name, 'p') AND p_name <> 'p' ORDER BY 1 LIMIT 7",
-    "prefix_exists": "SELECT count(*) > 0 AS found FROM part WHERE starts_with(p_name, 'p')",
-    "prefix_has_key": "SELECT count(*) > 0 AS found FROM part WHERE p_name = 'part 1'",
+    "prefix_scan": "SELECT DISTINCT p_name AS key FROM part WHERE starts_with(p_name, 'red w') AND p_name <> 'red w'",
+    "prefix_scan_limited": "SELECT DISTINCT p_name AS key FROM part WHERE starts_with(p_name, 'b') AND p_name <> 'b' ORDER BY 1 LIMIT 3",
+    "prefix_exists": "SELECT count(*) > 0 AS found FROM part WHERE starts_with(p_name, 'blue')",
+    "prefix_has_key": "SELECT count(*) > 0 AS found FROM part WHERE p_name = 'red w'",
     "prefix_count_new": "SELECT count(DISTINCT c_name) AS n_new FROM customer WHERE c_name NOT IN (SELECT p_name FROM part)",
     "prefix_update_delete": "(SELECT p_name AS key FROM part UNION SELECT s_name FROM supplier) EXCEPT SELECT p_name FROM part WHERE p_partkey % 2 = 0",
     "longest_prefix": """WITH k AS (SELECT left(url, 14) AS key FROM pages UNION SELECT left(url, 22) FROM pages), t AS (SELECT DISTINCT url AS text FROM pages)
@@ -407,7 +407,7 @@ SELECT ring_idx, pos, (SELECT min_by(t.server, t.ring_idx) FROM twice t WHERE t.
     "has_path": "SELECT false AS found",
     "quadtree_leaves": "WITH " + _quad() + " SELECT depth, cx, cy, count(*) AS n FROM lv GROUP BY ALL",
     "quadtree_delete": "WITH " + _quad("AND NOT (x = 10 AND y = 18)") + " SELECT depth, cx, cy, count(*) AS n FROM lv GROUP BY ALL",
-    "quadtree_query": "WITH " + _quad() + f", asked AS (SELECT max(depth) AS depth FROM lv WHERE cx = floor(10.0 / (64.0 / (1 << depth))) AND cy = floor(20.0 / (64.0 / (1 << depth)))) SELECT l_orderkey FROM lv WHERE cx = floor(10.0 / (64.0 / (1 << depth))) AND cy = floor(20.0 / (64.0 / (1 << depth)))",
+    "quadtree_query": "WITH " + _quad() + f", asked AS (SELECT max(depth) AS depth FROM lv WHERE cx = floor(20.0 / (64.0 / (1 << depth))) AND cy = floor(12.0 / (64.0 / (1 << depth)))) SELECT l_orderkey FROM lv WHERE cx = floor(20.0 / (64.0 / (1 << depth))) AND cy = floor(12.0 / (64.0 / (1 << depth)))",
     "crdt_merge": "SELECT conv_id AS doc, 't' || turn AS id, bool_or((conv_id % 2 = 1 AND turn = 2) OR (conv_id % 5 = 0 AND turn = 1)) AS tombstone FROM conversations GROUP BY ALL",
     "crdt_converge": f"WITH RECURSIVE {_ATOMS} SELECT doc, coalesce(string_agg(value, '' ORDER BY path) FILTER (NOT gone), '') AS text FROM w GROUP BY doc",
     "crdt_visible": f"WITH RECURSIVE {_ATOMS}, n AS (SELECT doc, id, gone, row_number() OVER (PARTITION BY doc ORDER BY path) - 1 AS pos FROM w) SELECT doc, id, pos FROM n WHERE NOT gone",
