@@ -50,8 +50,10 @@ def union(*sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def harmonic(m: int) -> Column:
-    """The sum of 2^-rho over all m registers; those without a row hold 0. Summed as an integer."""
-    return (F.sum(F.expr("cast(shiftleft(1L, 40) as bigint)") / F.pow(F.lit(2.0), F.col("rho"))) / F.lit(float(1 << 40))) + (F.lit(m) - F.count("rho"))
+    """The sum of 2^-rho over all m registers; those without a row hold 0. Scaled by 2^40, the terms are integers and
+    their sum is exact in any order."""
+    scaled = F.lit(float(1 << 40)) / F.pow(F.lit(2.0), F.col("rho"))
+    return F.coalesce(F.sum(scaled), F.lit(0.0)) / F.lit(float(1 << 40)) + (F.lit(m) - F.count("rho"))
 
 
 def estimate(sketch: DataFrame, b: int = 10, by: list[str] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def bits_from_bytes(spark: SparkSession, data: bytes, b: int) -> DataFrame:
     one = spark.createDataFrame([(bytearray(data),)], "data binary")
     byte = F.conv(F.hex(F.expr("substr(data, cast(i div 8 as int) + 1, 1)")), 16, 10).cast("int")
     every = one.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << b) - 1).cast("long"))))
-    return every.where(byte.bitwiseAND(F.shiftleft(F.lit(1), F.expr("cast(i % 8 as int)"))) != 0).select(F.col("i").alias("idx"))
+    return every.where(F.getbit(byte, F.expr("cast(i % 8 as int)")) != 0).select(F.col("i").alias("idx"))
 
 
 def servers_from_config(spark: SparkSession, config: dict) -> DataFrame:
