@@ -1,89 +1,23 @@
-"""Shared pieces of the corpus operators: table reading, lineage cuts, distributed ranks, row keys."""
+"""Shared pieces of the corpus operators: words, seeded orders, row keys, and joins back to whole rows."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-#: Java and DuckDB patterns of a word, and of one run of separators.
-WORD = r"[^\x20\x09-\x0D]+"
+from gristmill.plans.ranking import positions, small
+from gristmill.session import checkpoint_dir, cut, ship
 
+__all__ = ["KEY", "WORD", "checkpoint_dir", "cut", "keyed", "positions", "rejoin", "ship", "small", "spread", "table", "unit"]
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from the driver's path when it is not installed on them."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    return spark
+#: Java and DuckDB pattern of a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a folder of this process only where the session names none."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-checkpoint-")
-        )
-    return jsc.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder that all executors share, and reads on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hints a broadcast only after counting: beyond max_rows the join shuffles instead."""
-    df = cut(df)
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Null-safe equality over names."""
-    out = F.lit(True)
-    for n in names:
-        out = out & left[n].eqNullSafe(right[n])
-    return out
-
-
-def positions(df: DataFrame, order: list[str], group: list[str] | None = None, name: str = "pos") -> DataFrame:
-    """Adds the 0-based position of each row in the total order of its group.
-
-    Rows are dealt by range over (group, order), so a group of any size spreads over many tasks; each
-    task numbers its own rows and a table of one row per task and group carries the prefix counts.
-    Rows equal in all of (group, order) take the positions of their run in an unspecified order.
-    """
-    group = group or []
-    keys = [F.col(c).asc_nulls_last() for c in [*group, *order]]
-    dealt = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("gm_mid", F.monotonically_increasing_id()))
-    dealt = dealt.withColumn("gm_part", F.shiftrightunsigned("gm_mid", 33))
-    before = Window.partitionBy(*group or [F.lit(0)]).orderBy("gm_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy("gm_part", *group)
-        .agg(F.min("gm_mid").alias("gm_first"), F.count(F.lit(1)).alias("gm_n"))
-        .withColumn("gm_before", F.coalesce(F.sum("gm_n").over(before), F.lit(0)))
-        .drop("gm_n")
-    )
-    starts = starts.select(*[F.col(c).alias(f"gm_r_{c}") for c in ["gm_part", *group]], "gm_first", "gm_before")
-    on = F.lit(True)
-    for c in ["gm_part", *group]:
-        on = on & F.col(c).eqNullSafe(F.col(f"gm_r_{c}"))
-    return dealt.join(small(starts), on).select(
-        *df.columns, (F.col("gm_before") + F.col("gm_mid") - F.col("gm_first")).alias(name)
-    )
-
-
 def spread(c: str | Column, seed: int) -> Column:
     """A seeded order key that DuckDB can compute too."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit(""))))

@@ -40,7 +40,8 @@ def interleave(rows: DataFrame, id_cols: list[str], shards: int = SHARDS, seed:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """All rows of docs, whole, with shard and slot."""
+    """All rows of docs, whole, with shard and slot, which replace columns of these names."""
+    docs = docs.drop("shard", "slot")
     narrow = keyed(docs).select(*KEY, "source")
     return rejoin(docs, interleave(narrow, KEY, shards, seed).select(*KEY, "shard", "slot"))
 

@@ -101,11 +101,12 @@ def alias_links(pages: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """Adds host, path, rule, verdict to pages (url, html, ...).
+    """Adds host, path, rule, verdict to pages (url, html, ...), in place of columns of these names.
 
     The longest rule decides a page that one fits. Any other page takes its component's decision: allow
     if some alias is allowed by a rule, else block if some alias is blocked by one, else the default.
     """
+    pages = pages.drop("host", "path", "rule", "verdict")
     links = cut(alias_links(pages))
     ends = links.select(F.col("a").alias("url")).union(links.select("b")).distinct()
     judged = matched_rules(pages.select("url").where("url is not null").union(ends).distinct(), rules).select(

@@ -62,3 +62,17 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert quality.RULES and decontam.SIMILARITY == 0.8
+
+
+def test_stages_keep_odd_columns_and_rows(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(90)) + ".\nSecond line here.\nThird line."
+    long = " ".join(f"term{i}" for i in range(60_000))
+    rows = [(1, text, "en", "a", 1, "x", "y", None), (1, text, "en", "a", 1, "x", "y", None), (2, long, None, None, 2, "x", None, 1), (None, None, None, None, None, None, None, None), (None, text + " more", "en", "a", 3, "z", "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, size long, shard string, fp string, copies int")
+    spark.createDataFrame([(1, "no such words"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        names = docs.columns if name != "shard" else [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
+        assert out.columns == names
+        n = out.count()
+        assert n == {"quality_rules": 4, "near_duplicates": 3, "decontamination": 5, "shard": 5}.get(name, n)
