@@ -19,7 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
-    "op4_token_counts": tokens.op4_token_counts,
-    "op5_quality": quality.op5_quality,
     "op8_url_filters": urls.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
