@@ -149,13 +149,31 @@ def digest(df: DataFrame, value: str, by: list[str], alpha: float = 100.0, weigh
 
     parts = rows.mapInArrow(partial, "k string, mean double, weight double, least double, most double")
 
-    def merge(key, t):
+    return _merged(parts, {c: df.schema[c].dataType.simpleString() for c in by}, alpha)
+
+
+def merge(*digests: DataFrame, by: list[str], alpha: float = 100.0) -> DataFrame:
+    """One digest of each group from several; the sources are left as they are, weights add up."""
+    _checked(alpha)
+    every = digests[0]
+    for d in digests[1:]:
+        every = every.unionByName(d)
+    rows = every.select(F.to_json(F.struct(*by)).alias("k"), "least", "most", F.explode("centroids").alias("c"))
+    parts = rows.select("k", "c.mean", "c.weight", "least", "most")
+    return _merged(parts, {c: every.schema[c].dataType.simpleString() for c in by}, alpha)
+
+
+def _merged(parts: DataFrame, kinds: dict[str, str], alpha: float) -> DataFrame:
+    """Digests from rows (k, mean, weight, least, most), k being the group as JSON."""
+
+    def work(key, t):
         m, w = compress(t["mean"].to_numpy(), t["weight"].to_numpy(), alpha)
-        cents = pa.array([[{"mean": float(a), "weight": float(b)} for a, b in zip(m, w)]], pa.list_(pa.struct([("mean", pa.float64()), ("weight", pa.float64())])))
+        kind = pa.list_(pa.struct([("mean", pa.float64()), ("weight", pa.float64())]))
+        cents = pa.array([[{"mean": float(a), "weight": float(b)} for a, b in zip(m, w)]], kind)
         return pa.table({"k": [key[0].as_py()], "centroids": cents, "total": [float(w.sum())], "least": [min(t["least"].to_pylist())], "most": [max(t["most"].to_pylist())]})
 
-    merged = parts.groupBy("k").applyInArrow(merge, f"k string, centroids {CENTROIDS}, total double, least double, most double")
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    merged = parts.groupBy("k").applyInArrow(work, f"k string, centroids {CENTROIDS}, total double, least double, most double")
+    schema, by = ", ".join(f"`{c}` {k}" for c, k in kinds.items()), list(kinds)
     return merged.select(*([F.from_json("k", schema).getField(c).alias(c) for c in by]), "centroids", "total", "least", "most")
 
 

@@ -54,6 +54,9 @@ def test_quantiles_and_digests(spark):
     many = spark.range(20_000).select(F.lit("x").alias("k"), F.col("id").cast("double").alias("x"))
     big = quantiles.digest(many, "x", ["k"]).select(F.size("centroids").alias("n"), *[quantiles.digest_quantile(q).alias(f"q{int(q * 100)}") for q in (0.01, 0.5, 0.99)]).first()
     assert big.n < 400 and abs(big.q50 - 10_000) < 400 and abs(big.q1 - 200) < 100 and abs(big.q99 - 19_800) < 100
+    halves = [quantiles.digest(df.where(F.col("k") == "a").where(c), "x", ["k"]) for c in ("x < 50", "x >= 50")]
+    whole = quantiles.merge(*halves, by=["k"]).select("total", "least", "most", quantiles.digest_quantile(0.5).alias("m")).first()
+    assert (whole.total, whole.least, whole.most) == (101, 0, 100) and 45 <= whole.m <= 55
     assert quantiles.centre_quantile([5.0], [1.0], 0.3, 5.0, 5.0) == 5.0
     with pytest.raises(AssertionError):
         quantiles.digest(df, "x", ["k"], alpha=0)
