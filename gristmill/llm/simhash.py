@@ -3,9 +3,11 @@
 Fingerprints are cut into parts. Two fingerprints of `bits` bits that differ in at most t bits agree up
 to one bit in some part when 2 * parts > t (pigeonhole). The anchors of a part are the words of a
 covering code: a perfect Hamming code of length 15 (covering radius 1) on its first 15 bits, and every
-word on the rest (radius 0). A fingerprint has its home at its nearest anchor and is replicated to every
-anchor within covering radius plus threshold whose cell comes within one bit of it: 1 + 7 + (bits - 15)
-at most. Fingerprints are compared only at anchors: homes against visitors.
+word on the rest (radius 0). A fingerprint has its home at its nearest anchor and is replicated to the
+anchors within covering radius plus threshold whose cell comes within one bit of it: 7 + (bits - 15) at
+most. Of two fingerprints that differ in one bit of a part, the one that has the bit set visits the other,
+so only flips of set bits are followed. Fingerprints are compared only at anchors: homes with homes and
+with visitors.
 """
 
 from __future__ import annotations
@@ -93,8 +95,8 @@ def parts_of(bits: int, parts: int) -> list[tuple[int, int]]:
 
 @functools.cache
 def _hamming() -> tuple[np.ndarray, np.ndarray]:
-    """For each word of 15 bits the number of its nearest code word, and the numbers of the code words at
-    distance 2 (7 if it is no code word itself, else none: -1)."""
+    """For each word of 15 bits the number of its nearest code word, and the numbers of the other code words whose
+    cell is one set bit away (7 at most; the rest -1)."""
     x = np.arange(1 << 15)
     syndrome = np.zeros_like(x)
     for bit in range(15):
@@ -108,8 +110,7 @@ def _hamming() -> tuple[np.ndarray, np.ndarray]:
     for i in range(15):
         for j in range(i):
             y = x ^ (1 << i) ^ (1 << j)
-            at = np.flatnonzero(syndrome[y] == 0)
-            at = at[syndrome[at] > 0]
+            at = np.flatnonzero((syndrome[y] == 0) & (syndrome > 0) & ((x >> i | x >> j) & 1 > 0))
             others[at, fill[at]] = number[y[at]]
             fill[at] += 1
     return number[nearest], others
@@ -125,21 +126,21 @@ def _field(fps: np.ndarray, first: int, bits: int) -> np.ndarray:
 
 
 def anchors(fps: np.ndarray, first: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home anchors of the fingerprints, and (row, anchor) of every visit, the home included."""
+    """Home anchors of the fingerprints, and (row, anchor) of every visit elsewhere."""
     home15, near15 = _hamming()
     x = _field(fps, first, bits)
     low, rest = x & 0x7FFF, x >> 15
-    home = rest << 11 | home15[low]
-    rows, cells = [np.arange(len(x))], [home]
+    rows, cells = [], []
     for j in range(7):
         other = near15[low, j]
         at = np.flatnonzero(other >= 0)
         rows.append(at)
         cells.append(rest[at] << 11 | other[at])
     for j in range(bits - 15):
-        rows.append(rows[0])
-        cells.append((rest ^ (1 << j)) << 11 | home15[low])
-    return home, np.concatenate(rows), np.concatenate(cells)
+        at = np.flatnonzero(rest >> j & 1)
+        rows.append(at)
+        cells.append((rest[at] ^ (1 << j)) << 11 | home15[low[at]])
+    return rest << 11 | home15[low], np.concatenate(rows), np.concatenate(cells)
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -164,8 +165,18 @@ def _limbs(column: pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(chunk.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
 
 
-def _matches(h_fp, v_fp, h_at, v_at, h_n, v_n, distance) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Matching (home, visitor) indices of groups: group g holds homes h_at[g] + 0..h_n[g] and visitors alike."""
+def _near(fps: np.ndarray, hi: np.ndarray, vi: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    d = np.zeros(len(hi), np.int64)
+    for k in range(fps.shape[1]):
+        d += np.bitwise_count(fps[hi, k] ^ fps[vi, k])
+    ok = (d <= distance) & (vi > hi)
+    if ok.any():
+        yield hi[ok], vi[ok]
+
+
+def _matches(fps: np.ndarray, h_at: np.ndarray, h_n: np.ndarray, v_at: np.ndarray, v_n: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked (home, other) rows of groups: group g compares rows h_at[g] + 0..h_n[g] with rows v_at[g] + 0..v_n[g] that
+    come after them, in steps of about STEP pairs."""
     total = h_n * v_n
     g, group_ends = 0, np.cumsum(total)
     while g < len(total):
@@ -176,36 +187,25 @@ def _matches(h_fp, v_fp, h_at, v_at, h_n, v_n, distance) -> Iterator[tuple[np.nd
             for k in range(0, int(h_n[g]), per):
                 m = min(per, int(h_n[g]) - k)
                 hi = np.repeat(np.arange(h_at[g] + k, h_at[g] + k + m), v_n[g])
-                vi = np.tile(np.arange(v_at[g], v_at[g] + v_n[g]), m)
-                yield from _near(h_fp, v_fp, hi, vi, distance)
+                yield from _near(fps, hi, np.tile(np.arange(v_at[g], v_at[g] + v_n[g]), m), distance)
         else:
             t = total[g:end]
             which = np.repeat(np.arange(g, end), t)
             off = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
-            yield from _near(h_fp, v_fp, h_at[which] + off // v_n[which], v_at[which] + off % v_n[which], distance)
+            yield from _near(fps, h_at[which] + off // v_n[which], v_at[which] + off % v_n[which], distance)
         g = end
 
 
-def _near(h_fp, v_fp, hi, vi, distance):
-    d = np.zeros(len(hi), np.int64)
-    for k in range(h_fp.shape[1]):
-        d += np.bitwise_count(h_fp[hi, k] ^ v_fp[vi, k])
-    ok = (d <= distance) & (d > 0)
-    if ok.any():
-        yield hi[ok], vi[ok]
+def links(prints: DataFrame, bits: int, parts: int, distance: int) -> DataFrame:
+    """Edges (a, b) that connect the same fingerprints as all links of at most `distance` bits.
 
-
-def links(nodes: DataFrame, bits: int, parts: int, distance: int) -> DataFrame:
-    """Edges (a, b) of node ids that connect the same nodes as all links of at most `distance` bits.
-
-    nodes: (id long, fp binary), one row per fingerprint. Each comparing task returns a spanning forest
-    of the links that it found, so a dense group of n near copies gives about n edges, not n squared.
-    Anchors with over HOMES homes are split: homes are salted, visitors go to every salt. The table of
-    split anchors is bounded by the code's size. Links are complete up to distance 2 * parts - 1; links
+    prints: (fp binary), distinct. Each comparing task returns a spanning forest of the links that it
+    found, so a dense group of n near copies gives about n edges, not n squared. Anchors with over HOMES
+    homes are split: homes are salted, and visit the lower salts; visitors go to every salt. The table
+    of split anchors is bounded by the code's size. Links are complete up to 2 * parts - 1 bits; links
     of more bits, up to `distance`, are found when some part differs in one bit at most.
     """
     words, layout = bits // 64, parts_of(bits, parts)
-    schema = "cell int, home boolean, id long, fp binary"
 
     def spread(batches: Iterator[pa.RecordBatch], homes_only: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,64 +215,62 @@ def links(nodes: DataFrame, bits: int, parts: int, distance: int) -> DataFrame:
                 for first, n in layout:
                     home, rows, cells = anchors(fps, first, n)
                     if homes_only:
-                        yield pa.RecordBatch.from_arrays([pa.array((base + home).astype(np.int32))], ["cell"])
+                        yield pa.RecordBatch.from_arrays([pa.array(base + home)], ["cell"])
                     else:
+                        # place: the anchor, 31 bits for a salt, and 1 for a visitor, so that homes sort first
+                        place = np.concatenate([(base + home) << 32, (base + cells) << 32 | 1])
                         who = pa.array(np.concatenate([np.arange(len(home)), rows]))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array((base + np.concatenate([home, cells])).astype(np.int32)),
-                                pa.array(np.arange(len(who)) < len(home)),
-                                piece.column("id").take(who),
-                                piece.column("fp").take(who),
-                            ],
-                            ["cell", "home", "id", "fp"],
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(place), piece.column("fp").take(who)], ["place", "fp"])
                     base += 1 << (n - 4)
 
     crowded = cut(
-        nodes.mapInArrow(lambda it: spread(it, True), "cell int")
+        prints.mapInArrow(lambda it: spread(it, True), "cell long")
         .groupBy("cell").count().where(f"count > {HOMES}")
         .select(F.col("cell").alias("crowded"), F.ceil(F.col("count") / HOMES).cast("int").alias("salts"))
     )
-    all_rows = nodes.mapInArrow(spread, schema)
+    dealt = prints.mapInArrow(spread, "place long, fp binary")
     # At most one row per anchor of the code: 2^(bits of a part - 4) for each part.
-    if crowded.isEmpty():
-        dealt = all_rows.withColumn("salt", F.lit(0))
-    else:
-        salts = F.coalesce(F.col("salts"), F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), salts).cast("int")
-        dealt = all_rows.join(F.broadcast(crowded), F.col("cell") == F.col("crowded"), "left").select(
-            "cell", "home", "id", "fp",
-            F.explode(F.when(F.col("home"), F.array(own)).otherwise(F.sequence(F.lit(0), salts - 1))).alias("salt"),
-        )
-    dealt = dealt.repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("home").desc())
+    if not crowded.isEmpty():
+        met = dealt.join(F.broadcast(crowded), F.shiftright("place", 32) == F.col("crowded"), "left")
+        salted = F.expr(
+            """CASE WHEN salts IS NULL THEN array(place)
+            WHEN place % 2 = 1 THEN transform(sequence(0, salts - 1), s -> place + 2 * s)
+            ELSE transform(sequence(0, pmod(xxhash64(fp), salts)), s -> place + 2 * s + IF(s < pmod(xxhash64(fp), salts), 1, 0)) END"""
+        )
+        dealt = met.select(F.explode(salted).alias("place"), "fp")
+    dealt = dealt.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry_key, carry_fp, carry_id = None, np.zeros((0, words), np.uint64), np.zeros(0, np.int64)
+        last, carried = None, np.zeros((0, words), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("cell").to_numpy().astype(np.int64) << 32 | batch.column("salt").to_numpy()
-            home = batch.column("home").to_numpy(zero_copy_only=False)
-            ids, fps = batch.column("id").to_numpy(), _limbs(batch.column("fp"), words)
-            if carry_key == key[0]:  # the homes of the group that the last batch ended in
-                key = np.concatenate([np.full(len(carry_id), carry_key), key])
-                home = np.concatenate([np.ones(len(carry_id), bool), home])
-                ids, fps = np.concatenate([carry_id, ids]), np.concatenate([carry_fp, fps])
+            place, fps = batch.column("place").to_numpy(), _limbs(batch.column("fp"), words)
+            key, home = place >> 1, place % 2 == 0
+            old = 0
+            if last == key[0]:  # the homes of the group that the last batch ended in
+                old = len(carried)
+                key = np.concatenate([np.full(old, last), key])
+                home = np.concatenate([np.ones(old, bool), home])
+                fps = np.concatenate([carried, fps])
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(starts, len(key)))
             h_n = np.add.reduceat(home.astype(np.int64), starts)
-            last = slice(starts[-1], starts[-1] + h_n[-1])
-            carry_key, carry_id, carry_fp = key[-1], ids[last].copy(), fps[last].copy()
-            found = [(ids[h], ids[v]) for h, v in _matches(fps, fps, starts, starts + h_n, h_n, size - h_n, distance)]
+            last, carried = key[-1], fps[starts[-1] : starts[-1] + h_n[-1]].copy()
+            v_at, v_n = starts.copy(), size.copy()
+            v_at[0], v_n[0] = v_at[0] + old, v_n[0] - old  # the carried homes have met one another
+            found = list(_matches(fps, starts, h_n, v_at, v_n, distance))
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                seen, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-                root = forest(at[: len(a)], at[len(a) :], len(seen))
-                moved = np.flatnonzero(root != np.arange(len(seen)))
-                yield pa.RecordBatch.from_arrays([pa.array(seen[moved]), pa.array(seen[root[moved]])], ["a", "b"])
+                ends = np.concatenate([np.concatenate(side) for side in zip(*found)])
+                rows, at = np.unique(ends, return_inverse=True)
+                names, one = np.unique(fps[rows].byteswap().view(f"V{8 * words}").ravel(), return_inverse=True)
+                at, half = one[at], len(ends) // 2
+                root = forest(at[:half], at[half:], len(names))
+                moved = np.flatnonzero(root != np.arange(len(names)))
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[moved]], pa.binary()), pa.array([x.tobytes() for x in names[root[moved]]], pa.binary())], ["a", "b"])
 
-    return dealt.select("cell", "salt", "home", "id", "fp").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(printed: DataFrame, id_col: str, bits: int, parts: int, distance: int) -> DataFrame:
@@ -283,9 +281,9 @@ def near_duplicates(printed: DataFrame, id_col: str, bits: int, parts: int, dist
     """
     ship(printed.sparkSession)
     printed = cut(printed)
-    nodes = cut(printed.groupBy("fp").agg(F.min(id_col).alias("gm_least")).withColumn("id", F.monotonically_increasing_id()))
-    roots = components(links(nodes.select("id", "fp"), bits, parts, distance))
-    linked = cut(nodes.join(roots, F.col("id") == F.col("node"), "left").withColumn("gm_root", F.coalesce("root", "id")))
+    nodes = cut(printed.groupBy("fp").agg(F.min(id_col).alias("gm_least")))
+    roots = components(links(nodes.select("fp"), bits, parts, distance))
+    linked = cut(nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("gm_root", F.coalesce("root", "fp")))
     least = linked.groupBy("gm_root").agg(F.min("gm_least").alias("component_id")).withColumnRenamed("gm_root", "gm_r")
     named = linked.join(least, F.col("gm_root") == F.col("gm_r")).select(F.col("fp").alias("gm_fp"), "component_id")
     return printed.join(named, F.col("fp") == F.col("gm_fp")).select(*printed.columns, "component_id")

@@ -41,10 +41,13 @@ def test_anchors_cover_every_word_within_one_bit():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2**63, 300).astype(np.uint64).reshape(-1, 1)
     for bit in range(21):
-        home, _, _ = simhash.anchors(x, 0, 21)
-        _, rows, cells = simhash.anchors(x ^ np.uint64(1 << bit), 0, 21)
+        y = x | np.uint64(1 << bit)
+        x0 = y ^ np.uint64(1 << bit)
+        home, _, _ = simhash.anchors(x0, 0, 21)
+        own, rows, cells = simhash.anchors(y, 0, 21)
         seen = set(zip(rows.tolist(), cells.tolist()))
-        assert all((i, int(h)) in seen for i, h in enumerate(home))
+        assert len(seen) == len(rows)
+        assert all(own[i] == h or (i, int(h)) in seen for i, h in enumerate(home))
 
 
 def test_query_against_brute_force(spark, tmp_path):
@@ -74,12 +77,26 @@ def test_split_anchors_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOMES", 2)
     base = 0x123456789ABCDEF0
     fps = sorted({base ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(12)})
-    nodes = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in enumerate(fps)], "id long, fp binary")
-    got = components(simhash.links(nodes, 64, 3, 4)).collect()
-    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 4]
-    want = roots(range(len(fps)), pairs)
-    assert {r.node: r.root for r in got} == want
-    assert len(pairs) > 5 * simhash.links(nodes, 64, 3, 4).count()
+    nodes = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary")
+    found = simhash.links(nodes, 64, 3, 4)
+    got = {int.from_bytes(r.node): int.from_bytes(r.root) for r in components(found).collect()}
+    pairs = [(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 4]
+    assert got == roots(fps, pairs)
+    assert len(pairs) > 5 * found.count()
+
+
+def test_groups_over_many_batches(spark):
+    base = 0x0F0F0F0F12345678
+    fps = sorted({base ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(30, 52) for j in range(30, 52) for k in range(30, 52)})
+    nodes = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = components(simhash.links(nodes, 64, 3, 2)).select("root").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = [(f, f ^ (1 << i) ^ (1 << j)) for f in fps for i in range(30, 52) for j in range(30, i)]
+    known = set(fps)
+    assert got == len(set(roots(fps, [p for p in pairs if p[1] in known]).values()))
 
 
 def test_components_of_paths_stars_and_loops(spark):
