@@ -289,7 +289,7 @@ def near_duplicates(printed: DataFrame, id_col: str, bits: int, parts: int, dist
     return printed.join(named, F.col("fp") == F.col("gm_fp")).select(*printed.columns, "component_id")
 
 
-def dedup_documents(docs: DataFrame, shingle: int = 5, bits: int = 128, parts: int = 7, similarity: float = 0.8) -> DataFrame:
+def dedup_documents(docs: DataFrame, shingle: int = 5, bits: int = 192, parts: int = 11, similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group of docs: the one of least doc_id (then least row hash; a null doc_id last).
 
     Fingerprints over shingles of `shingle` words link when at least `similarity` of their bits agree.
