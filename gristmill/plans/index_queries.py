@@ -211,7 +211,7 @@ def ring_remove_server(spark, d):
     return ring.remove_server(_ring(spark), 2)
 
 
-_RING = f"""ring AS (SELECT row_number() OVER (ORDER BY pos, server) - 1 AS ring_idx, pos, server FROM
+_RING = f"""ring AS (SELECT (row_number() OVER (ORDER BY pos, server) - 1)::INT AS ring_idx, pos, server FROM
   (SELECT ('0x' || right(sha256('{SEED}:' || range), 8))::BIGINT AS pos, (range // {VNODES})::INT AS server FROM range({SERVERS * VNODES})))"""
 _ARCS = f"""{_RING}, arcs AS (SELECT *, (coalesce(lead(pos) OVER (ORDER BY ring_idx), first(pos) OVER (ORDER BY ring_idx)) - pos + {ring.SPACE}) % {ring.SPACE} AS arc FROM ring)"""
 _KEY = "('0x' || right(sha256(c_custkey::VARCHAR), 8))::BIGINT"

@@ -53,7 +53,7 @@ def _fixed(length: int, limit: int, black: list) -> str:
 a(anchor) AS (SELECT min(ts_ms) FROM good UNION ALL SELECT (SELECT min(ts_ms) FROM good WHERE ts_ms > a.anchor + {length}) FROM a WHERE a.anchor IS NOT NULL),
 m AS (SELECT good.*, a.anchor FROM good ASOF JOIN (SELECT * FROM a WHERE anchor IS NOT NULL) a ON good.ts_ms >= a.anchor),
 r AS (SELECT *, row_number() OVER (PARTITION BY anchor, key ORDER BY ts_ms, id) AS k FROM m),
-d AS (SELECT key, ts_ms, id, false AS blacklisted, anchor, k <= {limit} AS allowed, greatest(0, {limit} - k) AS remaining FROM r {bad})"""
+d AS (SELECT key, ts_ms, id, false AS blacklisted, anchor, k <= {limit} AS allowed, greatest(0, {limit} - k)::INT AS remaining FROM r {bad})"""
 
 
 def _sliding(length: int, limit: int, black: list) -> str:
@@ -62,7 +62,7 @@ s(key, k, ts_ms, id, kept, allowed) AS (SELECT key, k, ts_ms, id, [ts_ms], true
 SELECT g.key, g.k, g.ts_ms, g.id, CASE WHEN len(list_filter(s.kept, lambda x: x >= g.ts_ms - {length})) < {limit}
   THEN list_append(list_filter(s.kept, lambda x: x >= g.ts_ms - {length}), g.ts_ms) ELSE list_filter(s.kept, lambda x: x >= g.ts_ms - {length}) END,
   len(list_filter(s.kept, lambda x: x >= g.ts_ms - {length})) < {limit} FROM s JOIN good g ON g.key = s.key AND g.k = s.k + 1),
-d AS (SELECT key, ts_ms, id, allowed, {limit} - len(kept) AS remaining FROM s)"""
+d AS (SELECT key, ts_ms, id, allowed, ({limit} - len(kept))::INT AS remaining FROM s)"""
 
 
 _H = 3_600_000
@@ -460,12 +460,12 @@ SELECT c.key, c.k, c.seq, c.op,
 FROM h JOIN c ON c.key = h.key AND c.k = h.k + 1)
 SELECT key, seq, op, s AS state_after, len(u)::INT AS n_undo, len(r)::INT AS n_redo FROM h WHERE k > 0""",
     "version_retention": "SELECT user_id AS key, event_id AS seq FROM events WHERE event_type NOT IN ('error', 'view') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
-    "topic_fifo": "SELECT event_id AS seq, event_type AS name, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events",
+    "topic_fifo": "SELECT event_id AS seq, event_type AS name, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS turn FROM events",
     "idempotent_first": "SELECT user_id * 10 + event_id % 10 AS key, min((epoch_us(ts) // 1000)) AS ts, arg_min(event_type, (ts, event_id)) AS result FROM events GROUP BY 1",
     "http_keys": "SELECT page_id, sha256('GET|' || url || '||me') AS key FROM pages",
     "plurality": f"WITH {_BALLOTS} SELECT c AS winner, count(*) AS votes FROM v WHERE pos = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
     "approval": f"WITH {_BALLOTS}, s AS (SELECT c, row_number() OVER (ORDER BY ballot, pos) AS k FROM v WHERE pos < 2) SELECT c AS winner, count(*) AS votes FROM s GROUP BY 1 ORDER BY 2 DESC, max(k) LIMIT 1",
-    "approval_running": f"WITH {_BALLOTS} SELECT ballot AS ballot_id, pos, c AS candidate, row_number() OVER (PARTITION BY c ORDER BY ballot, pos) AS so_far FROM v WHERE pos < 2",
+    "approval_running": f"WITH {_BALLOTS} SELECT ballot AS ballot_id, pos::INT AS pos, c AS candidate, row_number() OVER (PARTITION BY c ORDER BY ballot, pos) AS so_far FROM v WHERE pos < 2",
     "borda": f"WITH {_BALLOTS} SELECT c AS candidate, sum(size - 1 - pos)::BIGINT AS points FROM v GROUP BY 1",
     "borda_points": f"WITH {_BALLOTS} SELECT c AS winner, sum([10, 5, 3, 1, 0][pos + 1])::BIGINT AS points FROM v WHERE size = 5 GROUP BY 1 ORDER BY 2 DESC, min((ballot, pos)) LIMIT 1",
     "condorcet_pairs": f"""WITH {_BALLOTS}, l AS (SELECT unnest({TYPES}) AS c), p AS (SELECT x.c AS a, y.c AS b FROM l x JOIN l y ON x.c <> y.c),
