@@ -26,7 +26,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 CLASSES = len(ALPHABET) + 1
 #: Bound of the labelled sample: so many documents, picked by a hash of doc_id, and so many random strings.
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 2000
 SAMPLE_RANDOM = 6000
 #: Prior probability that a candidate token is a secret.
 PRIOR = 1e-4
@@ -70,18 +70,19 @@ def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_random: int
     """(label, token): label 1 random, 0 ordinary.
 
     Random strings are digests in hexadecimal, base64 and upper case letters and digits; ordinary ones
-    are the words of the sampled documents, alone and joined as identifiers are. Tokens of ordinary
-    text that hold a pattern's match are left out.
+    are the words of the sampled documents, and every eighth pair of words joined as identifiers are.
+    Tokens of ordinary text that hold a pattern's match are left out.
     """
     n = docs.count()
     keep = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, sample_docs / max(n, 1)))
     words = docs.where(keep).select(F.regexp_extract_all(F.regexp_replace("text", HEX + "|" + ACCESS, " "), F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
+    pairs = "transform(sequence(1, greatest(size(w) - 1, 1), 8), i -> concat({}))"
     joined = words.select(
         F.explode(
             F.concat(
-                F.array_distinct("w"),
-                F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat(get(w, i - 1), '_', lower(get(w, i))))"),
-                F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat(lower(get(w, i - 1)), initcap(get(w, i))))"),
+                "w",
+                F.expr(pairs.format("get(w, i - 1), '_', lower(get(w, i)), '_', get(w, i - 1)")),
+                F.expr(pairs.format("lower(get(w, i - 1)), initcap(get(w, i)), initcap(get(w, i - 1))")),
             )
         ).alias("token")
     )
@@ -105,10 +106,11 @@ def fit(labelled: DataFrame, smooth: float = 0.5) -> list[float]:
     """The CLASSES squared log-likelihood ratios of bigrams, from (label, token). Only the counts, bounded by
     the alphabet, reach the driver."""
     counts = [[smooth] * CLASSES**2 for _ in range(2)]
-    grams = labelled.where(F.length("token") > 1).select(
-        "label", F.explode(F.expr(f"transform(sequence(2, length(token)), i -> {_state_sql('token', 'i - 1')} * {CLASSES} + {_state_sql('token', 'i')})")).alias("g")
+    tokens = labelled.where(F.length("token") > 1).groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
+    grams = tokens.select(
+        "label", "n", F.explode(F.expr(f"transform(sequence(2, length(token)), i -> {_state_sql('token', 'i - 1')} * {CLASSES} + {_state_sql('token', 'i')})")).alias("g")
     )
-    for label, g, n in grams.groupBy("label", "g").count().collect():
+    for label, g, n in grams.groupBy("label", "g").agg(F.sum("n").alias("n")).collect():
         counts[label][g] += n
     logs = []
     for c in counts:
