@@ -15,7 +15,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    # Cut, so that the join has an exchange of its own on either side and its hot partitions can be split.
+    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
     met = pairs.join(least, F.col("u") == F.col("w"))
     moved = met.where("v > u" if large else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:

@@ -284,7 +284,7 @@ def near_duplicates(printed: DataFrame, id_col: str, bits: int, parts: int, dist
     nodes = cut(printed.groupBy("fp").agg(F.min(id_col).alias("gm_least")))
     roots = components(links(nodes.select("fp"), bits, parts, distance))
     linked = cut(nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("gm_root", F.coalesce("root", "fp")))
-    least = linked.groupBy("gm_root").agg(F.min("gm_least").alias("component_id")).withColumnRenamed("gm_root", "gm_r")
+    least = cut(linked.groupBy("gm_root").agg(F.min("gm_least").alias("component_id")).withColumnRenamed("gm_root", "gm_r"))
     named = linked.join(least, F.col("gm_root") == F.col("gm_r")).select(F.col("fp").alias("gm_fp"), "component_id")
     return printed.join(named, F.col("fp") == F.col("gm_fp")).select(*printed.columns, "component_id")
 
