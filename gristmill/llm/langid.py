@@ -26,7 +26,7 @@ SAMPLE_DOCS = 1200
 #: Languages that are learned, the most frequent first.
 MAX_LANGUAGES = 100
 #: Words whose scores a worker keeps.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 UNKNOWN = "und"
 START, END = 2, 3
 
@@ -153,6 +153,7 @@ class _Scores:
         """Rows for distinct hashes; word(i) gives the bytes of the i-th."""
         if len(self.at) > CACHED_WORDS:
             self.at.clear()
+            self.rows = self.rows[:1024].copy()
         at = [self.at.get(k) for k in key.tolist()]
         new = [i for i, x in enumerate(at) if x is None]
         if new:
