@@ -17,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import KEY, cut, keyed, rejoin, ship, table
+from gristmill.llm import jaccard
+from gristmill.llm.common import cut, rejoin, ship, table
 from gristmill.llm.components import components
+from gristmill.llm.shingles import shingles
 
-SEED = 42
 #: Homes that one task compares at an anchor; anchors with more are split by a salt of the homes.
 HOMES = 4096
 #: Pairs that are compared in one vectorised step.
@@ -51,17 +51,9 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
     words: how many 64-bit words the fingerprint has. No text or no word: all zero. Fewer words than a
     shingle: one shingle of all of them.
     """
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
+    h = shingles(text, shingle)
+    if not len(h):
         return [0] * words
-    joined = b" ".join(w)
-    if len(w) <= shingle:
-        h = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        starts = [0, *(ends[: -shingle] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
     out = []
     for k in range(words):
         octets = _mixed(h, k).view(np.uint8).reshape(-1, 8)
@@ -289,15 +281,13 @@ def near_duplicates(printed: DataFrame, id_col: str, bits: int, parts: int, dist
     return printed.join(named, F.col("fp") == F.col("gm_fp")).select(*printed.columns, "component_id")
 
 
-def dedup_documents(docs: DataFrame, shingle: int = 5, bits: int = 192, parts: int = 11, similarity: float = 0.8) -> DataFrame:
+def dedup_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group of docs: the one of least doc_id (then least row hash; a null doc_id last).
 
-    Fingerprints over shingles of `shingle` words link when at least `similarity` of their bits agree.
-    Documents without a word are a group of their own; repeated rows are one document.
+    Documents link when their sets of shingles of `shingle` words have a Jaccard similarity of `similarity` or more;
+    every such pair does. Documents without a word are a group of their own; repeated rows are one document.
     """
-    rows = fingerprints(keyed(docs), KEY, shingle, bits // 64).withColumn("gm_key", F.struct(F.col("gm_id").isNull(), *KEY))
-    grouped = near_duplicates(rows, "gm_key", bits, parts, int(bits * (1 - similarity)))
-    return rejoin(docs, grouped.where(F.col("gm_key") == F.col("component_id")).select(*KEY).distinct())
+    return rejoin(docs, jaccard.near_duplicates(docs, shingle, similarity))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
