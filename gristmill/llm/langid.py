@@ -17,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, ship, table
+from gristmill.llm.common import cut, ship, small, table
 from gristmill.llm.wordarrays import chunks, hashes, mixed, words
 
 ORDER = 5
 #: Bound of the labelled sample: so many documents of a language, by a hash of doc_id; half train, half calibrate.
 SAMPLE_DOCS = 1200
-#: Languages that are learned, the most frequent first.
-MAX_LANGUAGES = 100
+#: Languages whose n-grams share sorted arrays; more languages make more blocks.
+BLOCK = 16
 #: Words whose scores a worker keeps.
 CACHED_WORDS = 300_000
+#: Bound of all those scores, with many languages.
+CACHED_SCORES = 100 * CACHED_WORDS
 UNKNOWN = "und"
 START, END = 2, 3
 
@@ -67,9 +69,10 @@ def _keys(code: np.ndarray, start: np.ndarray, order: int) -> list[tuple[np.ndar
 @dataclass
 class Model:
     languages: list[str]
-    #: By order: sorted n-gram hashes with discounted probabilities (n, languages); sorted contexts with back-off weights.
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    #: By order and block of languages: sorted n-gram hashes with discounted probabilities (n, languages); sorted contexts
+    #: with back-off weights.
+    grams: list[list[tuple[np.ndarray, np.ndarray]]]
+    contexts: list[list[tuple[np.ndarray, np.ndarray]]]
     uniform: float
     temperature: float = 1.0
     ceiling: float = float("inf")
@@ -77,6 +80,10 @@ class Model:
     order: int = field(default=ORDER)
 
 
+def _blocks(parts: list[tuple[np.ndarray, np.ndarray]], empty: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [_aligned(parts[at : at + BLOCK], empty) for at in range(0, len(parts), BLOCK)]
+
+
 def _aligned(parts: list[tuple[np.ndarray, np.ndarray]], empty: float) -> tuple[np.ndarray, np.ndarray]:
     keys = np.unique(np.concatenate([k for k, _ in parts]))
     out = np.full((len(keys), len(parts)), empty)
@@ -117,10 +124,13 @@ def train(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
             contexts[n - 1].append((ctx, np.minimum(1.0, np.where(kinds > 0, discount * kinds / total, 1.0))))
     if not languages:
         return Model([], [], [], 1.0, order=order)
-    return Model(languages, [_aligned(g, 0.0) for g in grams], [_aligned(c, 1.0) for c in contexts], 1 / (len(alphabet) + 2), order=order)
+    return Model(languages, [_blocks(g, 0.0) for g in grams], [_blocks(c, 1.0) for c in contexts], 1 / (len(alphabet) + 2), order=order)
 
 
-def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, empty: float) -> np.ndarray:
+def _found(blocks: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, empty: float) -> np.ndarray:
+    if len(blocks) > 1:
+        return np.concatenate([_found([b], asked, empty) for b in blocks], axis=1)
+    keys, values = blocks[0]
     if not len(keys):
         return np.full((len(asked), values.shape[1]), empty)
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
@@ -135,7 +145,7 @@ def word_scores(model: Model, vocabulary: list[str]) -> np.ndarray:
     code, start, of = _codes(vocabulary)
     p = np.full((len(code), len(model.languages)), model.uniform)
     for n, (here, key, context) in enumerate(_keys(code, start, model.order)):
-        p[here] = _found(*model.grams[n], key, 0.0) + _found(*model.contexts[n], context, 1.0) * p[here]
+        p[here] = _found(model.grams[n], key, 0.0) + _found(model.contexts[n], context, 1.0) * p[here]
     spoken = np.flatnonzero(np.arange(len(code)) > start)
     for j in range(len(model.languages)):
         out[:, j] = np.bincount(of[spoken], np.log(p[spoken, j]), len(vocabulary))
@@ -151,7 +161,7 @@ class _Scores:
 
     def of(self, key: np.ndarray, word) -> np.ndarray:
         """Rows for distinct hashes; word(i) gives the bytes of the i-th."""
-        if len(self.at) > CACHED_WORDS:
+        if len(self.at) > min(CACHED_WORDS, CACHED_SCORES // self.rows.shape[1]):
             self.at.clear()
             self.rows = self.rows[:1024].copy()
         at = [self.at.get(k) for k in key.tolist()]
@@ -217,13 +227,10 @@ def labelled_sample(docs: DataFrame, seed: int = 7, sample_docs: int = SAMPLE_DO
     """(lang, text, half) of about sample_docs documents a language that may be learned from: lang known,
     crc32 of doc_id modulo 4 other than 2."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    n = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    n = known.groupBy("lang").count().select("lang", (1e6 * F.least(F.lit(1.0), F.lit(sample_docs) / F.col("count"))).cast("int").alias("gm_limit"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000))
-    limit = F.lit(-1)
-    for row in n:
-        limit = F.when(F.col("lang") == row["lang"], int(1e6 * min(1.0, sample_docs / row["count"]))).otherwise(limit)
     half = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(2))
-    return known.where(draw < limit).select("lang", "text", half.alias("half"))
+    return known.join(small(n), "lang").where(draw < F.col("gm_limit")).select("lang", "text", half.alias("half"))
 
 
 def held_out() -> Column:
@@ -240,7 +247,7 @@ def fit(docs: DataFrame) -> Model:
     for lang, word, n in sample.where("half = 0").select("lang", letters.alias("w")).groupBy("lang", "w").count().toLocalIterator():
         counts.setdefault(lang, {})[word] = n
     model = train(counts)
-    model.name = hashlib.sha256(b"".join(x.tobytes() for pair in model.grams for x in pair)).hexdigest()
+    model.name = hashlib.sha256(b"".join(x.tobytes() for blocks in model.grams for pair in blocks for x in pair)).hexdigest()
     if not model.languages:
         return model
     rows = sample.where("half = 1").where(F.col("lang").isin(model.languages)).select("lang", _scored(model, F.col("text")).alias("s")).collect()

@@ -101,3 +101,25 @@ def test_query_on_held_out_documents(spark, tmp_path):
     assert sum(r.lang_pred == truth[r.doc_id] for r in out) >= 0.97 * len(out)
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert langid.op7_langid(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_languages_beyond_a_hundred_are_learned(spark, tmp_path):
+    rng = random.Random(8)
+    rows = []
+    for j in range(120):
+        letters = [chr(0x4E00 + 12 * j + i) for i in range(12)]
+        for _ in range(24 if j < 100 else 16):
+            text = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 6))) for _ in range(30))
+            rows.append((len(rows), text, f"l{j:03}"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.lang_pred for r in langid.op7_langid(spark, str(tmp_path)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_blocks_of_languages_give_the_same_scores(monkeypatch):
+    rng = random.Random(9)
+    counts = {f"k{j}": Counter("".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 6))) for _ in range(60)) for j in range(7)}
+    probe = ["abc", "fed", "zz", "a", ""]
+    whole = langid.word_scores(langid.train(counts), probe)
+    monkeypatch.setattr(langid, "BLOCK", 3)
+    assert np.array_equal(langid.word_scores(langid.train(counts), probe), whole)
