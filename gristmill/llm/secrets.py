@@ -20,7 +20,8 @@ ASSIGN_GATE = r"""(?i:passw|secret|token|api_?key)["'a-zA-Z]*\x20*[:=]"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: What the Markov models judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 KINDS = ["assign", "access", "hex", "markov"]
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -70,13 +71,13 @@ def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_random: int
     """(label, token): label 1 random, 0 ordinary.
 
     Random strings are digests in hexadecimal, base64 and upper case letters and digits; ordinary ones
-    are the words of the sampled documents, and every eighth pair of words joined as identifiers are.
+    are the words of the sampled documents, and their pairs of words joined as identifiers.
     Tokens of ordinary text that hold a pattern's match are left out.
     """
     n = docs.count()
     keep = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000)) < math.ceil(1e6 * min(1.0, sample_docs / max(n, 1)))
     words = docs.where(keep).select(F.regexp_extract_all(F.regexp_replace("text", HEX + "|" + ACCESS, " "), F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
-    pairs = "transform(sequence(1, greatest(size(w) - 1, 1), 8), i -> concat({}))"
+    pairs = "transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat({}))"
     joined = words.select(
         F.explode(
             F.concat(
@@ -122,13 +123,14 @@ def fit(labelled: DataFrame, smooth: float = 0.5) -> list[float]:
 def scan(docs: DataFrame, model: list[float], text: str = "text", prior: float = PRIOR) -> DataFrame:
     """Adds base and markov, arrays of spans (s, k, e) in code points, end exclusive, k an index of KINDS.
 
-    A candidate is a run of 20 or more of [A-Za-z0-9+/_=-] that meets no base span. Null texts have no spans.
+    A candidate is a run of 20 or more of [A-Za-z0-9+/_=-], or what base spans leave of one in such a length. Null
+    texts have no spans.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     ratios = "cast(split('" + ",".join(map(repr, model)) + "', ',') as array<double>)"
     base = F.array_sort(F.concat(*base_spans(t)))
     found = docs.withColumns({"base": base, "gm_maybe": _gated(t.rlike(CANDIDATE), _spans(t, CANDIDATE, 3))})
-    free = F.filter("gm_maybe", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    free = F.flatten(F.transform("gm_maybe", lambda c: _left(c, F.col("base"))))
     tokens = F.transform(free, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), t.substr(c["s"] + 1, c["e"] - c["s"]).alias("token")))
     found = found.withColumn("gm_tokens", tokens)
     limit = math.log((1 - prior) / prior)
@@ -136,6 +138,23 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", prior: float =
     return found.withColumn("markov", judged).drop("gm_maybe", "gm_tokens")
 
 
+def _left(c: Column, base: Column) -> Column:
+    """The pieces of LEAST characters or more that the sorted spans base leave of the span c."""
+
+    def piece(s: Column, e: Column) -> Column:
+        own = F.array(F.struct(s.alias("s"), c["k"].alias("k"), e.alias("e")))
+        return F.when(e - s >= LEAST, own).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+
+    met = F.filter(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+    start = F.struct(c["s"].alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out"))
+    return F.aggregate(
+        met,
+        start,
+        lambda a, b: F.struct(F.greatest(a["at"], b["e"]).alias("at"), F.concat(a["out"], piece(a["at"], b["s"])).alias("out")),
+        lambda a: F.concat(a["out"], piece(a["at"], c["e"])),
+    )
+
+
 def _llr_sql(ratios: str) -> str:
     return (
         f"aggregate(sequence(2, c.e - c.s), 0D, (a, i) -> a + element_at({ratios}, "
