@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ def build(name: str = "gristmill", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     return builder.config(map=defaults | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
@@ -32,16 +34,31 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a folder of this process only where the session names none."""
+    """The session's shared checkpoint folder. Where it names none, a folder of this machine, which only a master
+    that runs in this process can use; RuntimeError for any other."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-checkpoint-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gristmill-checkpoint-"))
     return jsc.getCheckpointDir().get()
 
 
+#: Size estimates of so many bits are taken for what products of joins have made of them.
+LARGEST = 62
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder that all executors share, and reads on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df to the checkpoint folder that all executors share, and reads on from there.
+
+    A checkpoint keeps the plan's size estimate. Joins multiply estimates, so over rounds of joins it would grow to
+    a number of millions of digits, and planning would never end; such an estimate is given up.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() <= LARGEST:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)
