@@ -12,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import KEY, WORD, cut, keyed, positions, rejoin, small, spread, table, unit
+from gristmill.llm.common import KEY, ROW, WORD, cut, keyed, positions, rejoin, small, spread, table, unit
 
 SEED = 17
 #: No source's target, and so no document, exceeds its size by this factor.
 MAX_REPEAT = 3
 
 
-def word_count(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+def word_count(text: str | Column = "text") -> Column:
+    return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -74,20 +74,25 @@ def mix(rows: DataFrame, id_cols: list[str], seed: int = SEED, max_repeat: int =
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED, max_repeat: int = MAX_REPEAT, weights=None) -> DataFrame:
-    """The documents of the mixture, whole rows, each as often as it is drawn."""
-    narrow = keyed(docs).select(*KEY, "source", word_count().alias("size"))
+    """The documents of the mixture, whole rows, each as often as it is drawn.
+
+    Rows go by all their columns, nulls and nested values included: repeats of a row are drawn each for itself, and
+    rows that differ in anything are never taken for one another. A null or empty text has size 0 and is not
+    drawn; a text of any length is one document. Ties in size go by a seeded hash of doc_id. Without rows the
+    result is empty; further columns pass through, whatever their names and types.
+    """
+    narrow = keyed(docs).select(*KEY, F.col(ROW)["source"].alias("source"), word_count(F.col(ROW)["text"]).alias("size"))
     drawn = mix(narrow, KEY, seed, max_repeat, weights).groupBy(*KEY).agg(F.sum("copies").alias("gm_copies")).where("gm_copies > 0")
-    out = rejoin(docs, drawn)
-    return out.withColumn("gm_each", F.explode(F.sequence(F.lit(1), F.col("gm_copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    each = F.explode(F.sequence(F.lit(1), F.col("gm_copies").cast("int")))
+    return rejoin(docs, drawn).select(ROW, each.alias("gm_each")).select(f"{ROW}.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document.
 
-    A null or empty text has size 0 and takes 0. Ties in size are ordered by a seeded hash of doc_id,
-    then doc_id; other columns of the table are not read.
+    A null or empty text has size 0 and takes 0; texts of any length are counted whole. Ties in size are ordered by a
+    seeded hash of doc_id, then doc_id; repeated rows are drawn each for itself. An empty table gives no row; other
+    columns of the table are not read.
     """
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
     return mix(rows, ["doc_id"]).select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import KEY, cut, keyed, positions, rejoin, small, spread, table
+from gristmill.llm.common import KEY, ROW, cut, keyed, positions, rejoin, small, spread, table
 
 SEED = 29
 SHARDS = 24
@@ -40,10 +40,14 @@ def interleave(rows: DataFrame, id_cols: list[str], shards: int = SHARDS, seed:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """All rows of docs, whole, with shard and slot, which replace columns of these names."""
+    """All rows of docs, whole, with shard and slot, which replace columns of these names.
+
+    Rows go by all their columns, nulls and nested values included; repeats of a row get a slot each. Texts are not
+    looked at, so null, empty and long ones are rows like any other. Without rows the result is empty.
+    """
     docs = docs.drop("shard", "slot")
-    narrow = keyed(docs).select(*KEY, "source")
-    return rejoin(docs, interleave(narrow, KEY, shards, seed).select(*KEY, "shard", "slot"))
+    narrow = keyed(docs).select(*KEY, F.col(ROW)["source"].alias("source"))
+    return rejoin(docs, interleave(narrow, KEY, shards, seed).select(*KEY, "shard", "slot")).select(f"{ROW}.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
@@ -55,12 +59,14 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law (rows), shard, slot, grown_shard (null) of every document.
 
-    A null text counts as empty: size 8, CRC 0. Equal texts are ordinary rows of their sources.
+    A null text counts as empty: size 8, CRC 0. Equal texts are ordinary rows of their sources. Rows of equal (or null)
+    doc_id are told apart by CRC and size; repeats beyond that take the slots of their run in any order. Texts of any
+    length are read once, for these two numbers. An empty table gives no row; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")
     )
-    return interleave(rows, ["doc_id"]).select(
+    return interleave(rows, ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
