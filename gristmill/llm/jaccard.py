@@ -1,10 +1,10 @@
-"""Near duplicates by the exact Jaccard similarity of shingle sets, joined by a prefix filter.
+"""Exact Jaccard similarity of shingle sets: verification of candidate pairs, and a prefix filter for what fingerprints miss.
 
 The shingles of all sets are put in one order. Of two sets whose similarity is t at least, the first
-n - ceil(t * n) + 1 shingles of either (n: its size) share one, so the pairs that meet at a shared prefix shingle are
-all that can link. At the first one they share, sizes and positions bound their overlap. Pairs that pass are held
-against each other by counts of their shingles in cells, which bound the difference from below, and the rest by the
-sets themselves. No bound drops a pair of similarity t.
+n - ceil(t * n) + 1 + e shingles of either (n: its size) share e + 1, or all that such sets must have in common if these
+are fewer, so the pairs that meet at so many shared prefix shingles are all that can link. At the first ones they share,
+sizes and positions bound their overlap. Pairs that pass are held against each other by counts of their shingles in
+cells, which bound the difference from below, and the rest by the sets themselves. No bound drops a pair of similarity t.
 
 Shingles that many documents hold come last in the order, which keeps the groups small; any order gives the same links.
 """
@@ -12,7 +12,7 @@ Shingles that many documents hold come last in the order, which keeps the groups
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import KEY, cut, keyed, ship, small
+from gristmill.llm.common import KEY, ROW, cut, keyed, small
 from gristmill.llm.components import components
 from gristmill.llm.shingles import SEED, shingles
 
@@ -30,6 +30,12 @@ EVERY, COMMON, MOST = 25, 4, 1 << 20
 SLACK = 1e-6
 #: Repeats of a document within so many of a task are sent once.
 SEEN = 100_000
+#: Shingles by which prefixes are longer than to share one: pairs must share one more than that.
+EXTRA = 3
+#: Rounds in which every node is held against one other of the nodes that it meets, before all that are still apart are.
+ROUNDS = 6
+#: A round is followed by another if one of FRUITFUL of its pairs links.
+FRUITFUL = 100
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -41,20 +47,30 @@ def _node(s: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(s.tobytes(), SEED)
 
 
-def profiles(docs: DataFrame, shingle: int) -> DataFrame:
-    """KEY, and node (a digest of the shingle set), size, cells (counts of shingles in 128 cells, up to 255)."""
+def _ids(nodes: list[bytes]) -> pa.Array:
+    """The first 8 bytes of nodes, as the numbers that candidate pairs are made of. Nodes that agree in them by chance are
+    all looked up when a pair is verified."""
+    return pa.array(np.frombuffer(b"".join(n[:8] for n in nodes), ">i8").astype(np.int64))
 
-    @F.arrow_udf("struct<node:binary,size:int,cells:binary>")
+
+def nodes(docs: DataFrame, shingle: int, prints: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """One row for each distinct shingle set: node (a digest of it), id, gm_least (the KEY of its least document, a null
+    doc_id last), size, cells (counts of shingles in 128 cells, up to 255) and fp (prints of the set)."""
+
+    @F.arrow_udf("struct<node:binary,id:bigint,size:int,cells:binary,fp:binary>")
     def profile(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts:
             s = shingle_set(t.as_py(), shingle)
             cells = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128)
-            rows.append((_node(s), len(s), np.minimum(cells, 255).astype(np.uint8).tobytes()))
-        node, size, cells = zip(*rows) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(cells, pa.binary())], ["node", "size", "cells"])
+            rows.append((_node(s), len(s), np.minimum(cells, 255).astype(np.uint8).tobytes(), prints(s)))
+        node, size, cells, fp = zip(*rows) if rows else ((), (), (), ())
+        columns = [pa.array(node, pa.binary()), _ids(node), pa.array(size, pa.int32()), pa.array(cells, pa.binary()), pa.array(fp, pa.binary())]
+        return pa.StructArray.from_arrays(columns, ["node", "id", "size", "cells", "fp"])
 
-    return keyed(docs).select(*KEY, profile("text").alias("gm_profile")).select(*KEY, "gm_profile.*")
+    each = keyed(docs).select(*KEY, profile(F.col(ROW)["text"]).alias("p")).select(*KEY, "p.*")
+    least = F.min(F.struct(F.col("gm_id").isNull().alias("gm_null"), *KEY)).alias("gm_least")
+    return cut(each.groupBy("node").agg(least, *[F.min(c).alias(c) for c in ("id", "size", "cells", "fp")]))
 
 
 def _common(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -73,7 +89,7 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(token, node, size, pos): the prefix shingles of every set, with their places in the order."""
+    """(token, id, span): the prefix shingles of every set; span has the size of the set and the place in the order."""
     late = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,35 +105,50 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                         seen.clear()
                     seen.add(node)
                     last = np.isin(s, late.value, assume_unique=True)
-                    take = len(s) - math.ceil(similarity * len(s) - SLACK) + 1
+                    take = len(s) - math.ceil(similarity * len(s) - SLACK) + 1 + EXTRA
                     tokens.append(np.concatenate([s[~last], s[last]])[:take])
                     nodes.append(node)
                     sizes.append(len(s))
                 if not nodes:
                     continue
                 n = [len(x) for x in tokens]
+                place = np.concatenate([np.arange(k) for k in n])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens).view(np.int64)),
-                        pa.array(nodes, pa.binary()).take(pa.array(np.repeat(np.arange(len(n)), n))),
-                        pa.array(np.repeat(sizes, n).astype(np.int32)),
-                        pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)),
+                        _ids(nodes).take(pa.array(np.repeat(np.arange(len(n)), n))),
+                        pa.array(np.repeat(np.array(sizes, np.int64), n) << 32 | place),
                     ],
-                    ["token", "node", "size", "pos"],
+                    ["token", "id", "span"],
                 )
 
-    return docs.select("text").mapInArrow(spread, "token long, node binary, size int, pos int")
+    return docs.select("text").mapInArrow(spread, "token long, id long, span long")
+
+
+def _size(span: Column) -> Column:
+    return F.shiftright(span, 32)
+
+
+def _overlap(similarity: float, a: Column, b: Column) -> Column:
+    """The least overlap of two sets, by their spans, that makes up the similarity."""
+    return similarity / (1 + similarity) * (_size(a) + _size(b)) - SLACK
+
+
+def _possible(similarity: float, a: Column, b: Column) -> Column:
+    """Whether sizes and positions leave room for the similarity, at one of the first EXTRA + 1 shared shingles."""
+    size, pos = [_size(x) for x in (a, b)], [x.bitwiseAND(F.lit((1 << 32) - 1)) for x in (a, b)]
+    overlap = F.least(size[0] - pos[0], size[1] - pos[1]) + EXTRA
+    return (F.least(*size) >= similarity * F.greatest(*size) - SLACK) & (overlap >= _overlap(similarity, a, b))
 
 
-def _possible(similarity: float, a: str, b: str) -> Column:
-    """Whether sizes and positions at the first shared shingle leave room for the similarity."""
-    size, pos = [F.col(f"{x}.size") for x in (a, b)], [F.col(f"{x}.pos") for x in (a, b)]
-    overlap = F.least(size[0] - pos[0], size[1] - pos[1])
-    return (F.least(*size) >= similarity * F.greatest(*size) - SLACK) & (overlap >= similarity / (1 + similarity) * (size[0] + size[1]) - SLACK)
+def _often(similarity: float, met: DataFrame) -> DataFrame:
+    """(a, b, n) of the pairs of met (a, b, a_span, b_span) that share as many prefix shingles as they must."""
+    enough = F.min(F.least(F.lit(EXTRA + 1.0), _overlap(similarity, F.col("a_span"), F.col("b_span"))))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), enough.alias("enough")).where("n >= enough").select("a", "b", "n")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of (a, b), the pairs whose sets have the similarity."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): the nodes of those pairs of ids whose sets have the similarity."""
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,42 +176,55 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     def side(table: DataFrame, name: str) -> DataFrame:
         return table.select(*[F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in table.columns])
 
-    light = nodes.select("node", "size", "cells")
-    left = cut(pairs.join(side(light, "a"), "a").join(side(light, "b"), "b").mapInArrow(close, "a binary, b binary"))
-    wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = small(wanted.join(nodes, "node").select("node", F.col("gm_least.gm_id").alias("gm_i"), F.col("gm_least.gm_hash").alias("gm_h")))
-    on = F.col("gm_id").eqNullSafe(F.col("gm_i")) & F.col("gm_hash").eqNullSafe(F.col("gm_h"))
-    texts = keyed(docs).select(*KEY, "text").join(keys, on).select("node", "text").dropDuplicates(["node"])
+    light = nodes.where("size > 0").select("node", "id", "size", "cells")
+    asked = pairs.select(F.col("a").alias("p"), F.col("b").alias("q"))
+    met = asked.join(side(light, "a"), F.col("p") == F.col("a_id")).join(side(light, "b"), F.col("q") == F.col("b_id"))
+    left = cut(met.mapInArrow(close, "a binary, b binary"))
+    wanted = left.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    keys = wanted.join(nodes, F.col("w") == F.col("node")).select("node", *[F.col(f"gm_least.{c}").alias(f"k_{c}") for c in KEY[1:]])
+    on = (F.col(KEY[1]) == F.col(f"k_{KEY[1]}")) & (F.col(KEY[2]) == F.col(f"k_{KEY[2]}"))
+    texts = keyed(docs).select(*KEY[1:], F.col(ROW)["text"].alias("text")).join(small(keys), on).select("node", "text").dropDuplicates(["node"])
     sets = cut(texts.select("node", whole("text").alias("set")))
     return cut(left.join(side(sets, "a"), "a").join(side(sets, "b"), "b").mapInArrow(alike, "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """KEY of the least document of each component over links of at least `similarity`.
+def missing(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root): for every node that pairs of the similarity connect to another, the least node that it reaches.
+    links (a, b): verified links of any part of these pairs, such as those that fingerprints find.
 
-    Documents with the same shingle set are one node (all without a word, too). Of the nodes that share a shingle, the
-    first is held against the others; then every two that this has not connected.
+    Of the nodes that share a prefix shingle and that no link connects yet, each is held against one, in rounds, as
+    long as these connect many; then all that are still apart are held against each other. A large group of near
+    copies is connected by links and rounds, so its pairs are never made.
     """
-    ship(docs.sparkSession)
-    key = F.struct(F.col("gm_id").isNull().alias("gm_null"), *KEY)
-    nodes = cut(profiles(docs, shingle).groupBy("node").agg(F.min(key).alias("gm_least"), F.min("size").alias("size"), F.min("cells").alias("cells")))
     at = Window.partitionBy("token")
+    ids = cut(nodes.select(F.col("node").alias("n"), "id"))
 
     def several(df: DataFrame, name: str) -> DataFrame:
         ends = df.withColumns({"gm_lo": F.min(name).over(at), "gm_hi": F.max(name).over(at)})
         return ends.where("gm_lo <> gm_hi").drop("gm_lo", "gm_hi")
 
-    def pairs(x: DataFrame, y: DataFrame, apart: str) -> DataFrame:
-        met = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(apart) & _possible(similarity, "x", "y"))
-        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-    met = cut(several(_prefixes(docs, shingle, similarity), "node").distinct())
-    first = met.groupBy("token").agg(F.min(F.struct("node", "size", "pos")).alias("gm_first")).select("token", "gm_first.*")
-    links = _verified(cut(pairs(first, met, "x.node <> y.node")), nodes, docs, shingle, similarity)
-    known = components(links).withColumnRenamed("node", "gm_node")
-    named = met.join(known, F.col("node") == F.col("gm_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("gm_node")
-    rest = cut(several(named, "root"))
-    more = _verified(cut(pairs(rest, rest, "x.node < y.node AND x.root <> y.root")), nodes, docs, shingle, similarity)
-    roots = components(links.union(more)).withColumnRenamed("node", "gm_node")
-    grouped = nodes.join(roots, F.col("node") == F.col("gm_node"), "left").groupBy(F.coalesce("root", "node").alias("gm_root"))
-    return grouped.agg(F.min("gm_least").alias("gm_least")).select("gm_least.gm_id", "gm_least.gm_hash")
+    def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+        named = cut(roots.join(ids, F.col("node") == F.col("n")).select(F.col("id").alias("i"), F.xxhash64("root").alias("r")))
+        known = met.join(named, F.col("id") == F.col("i"), "left")
+        return several(known.select("token", "id", "span", F.coalesce("r", F.xxhash64("id")).alias("root")), "root")
+
+    def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+        return cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+
+    roots = cut(components(links))
+    met = cut(several(_prefixes(docs, shingle, similarity), "id").distinct())
+    for k in range(ROUNDS):
+        hub = F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", "root", "span")).over(at)
+        beside = apart(met, roots).withColumn("hub", hub).where((F.col("hub.root") != F.col("root")) & _possible(similarity, F.col("span"), F.col("hub.span")))
+        met_often = _often(similarity, beside.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("span").alias("a_span"), F.col("hub.span").alias("b_span")))
+        one = cut(met_often.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+        more = verified(one, nodes, docs, shingle, similarity)
+        found = more.count()
+        roots = joined(roots, more) if found else roots
+        if found * FRUITFUL < one.count():
+            break
+    rest = cut(apart(met, roots))
+    x, y = (rest.select("token", *[F.col(c).alias(n) for c, n in (("id", k), ("root", f"{k}_root"), ("span", f"{k}_span"))]) for k in "ab")
+    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _possible(similarity, F.col("a_span"), F.col("b_span")))
+    pairs = cut(_often(similarity, pairs).select("a", "b"))
+    return joined(roots, verified(pairs, nodes, docs, shingle, similarity))

@@ -1,18 +1,20 @@
 """SimHash near-duplicates, joined by anchor points of a covering code.
 
-Fingerprints are cut into parts. Two fingerprints of `bits` bits that differ in at most t bits agree up
-to one bit in some part when 2 * parts > t (pigeonhole). The anchors of a part are the words of a
+Fingerprints are cut into blocks, and a key is some of the blocks. By the pigeonhole two fingerprints that differ in
+few bits agree up to one bit in some key (see sure). The anchors of a key are the words of a
 covering code: a perfect Hamming code of length 15 (covering radius 1) on its first 15 bits, and every
 word on the rest (radius 0). A fingerprint has its home at its nearest anchor and is replicated to the
 anchors within covering radius plus threshold whose cell comes within one bit of it: 7 + (bits - 15) at
-most. Of two fingerprints that differ in one bit of a part, the one that has the bit set visits the other,
+most. Of two fingerprints that differ in one bit of a key, the one that has the bit set visits the other,
 so only flips of set bits are followed. Fingerprints are compared only at anchors: homes with homes and
-with visitors.
+with visitors. Keys widen with the number of fingerprints, so an anchor stays small at any scale.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import jaccard
-from gristmill.llm.common import cut, rejoin, ship, table
+from gristmill.llm.common import KEY, ROW, cut, rejoin, ship, small, table
 from gristmill.llm.components import components
 from gristmill.llm.shingles import shingles
 
@@ -29,6 +31,12 @@ from gristmill.llm.shingles import shingles
 HOMES = 4096
 #: Pairs that are compared in one vectorised step.
 STEP = 1 << 20
+#: Bits of the salt in an anchor's number, and the widest key, so that all of them fit 63 bits.
+SALT, WIDEST = 20, 36
+#: What sending one row to an anchor costs, in comparisons.
+ROW_WORK = 200
+#: Near copies: what the keys are sure to find, and the bits that their candidates may differ in.
+SURE, NEAR = 5, 10
 
 
 def _bit_table() -> np.ndarray:
@@ -45,13 +53,8 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
-    """Lower-cased (A-Z) words, shingles with repeats, XXH64 of each; a bit is 1 if set in over half of them.
-
-    words: how many 64-bit words the fingerprint has. No text or no word: all zero. Fewer words than a
-    shingle: one shingle of all of them.
-    """
-    h = shingles(text, shingle)
+def votes(h: np.ndarray, words: int = 1) -> list[int]:
+    """The fingerprint of shingle hashes: a bit is 1 if it is set in over half of them; without any, all zero."""
     if not len(h):
         return [0] * words
     out = []
@@ -62,6 +65,15 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
     return out
 
 
+def fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
+    """Lower-cased (A-Z) words, shingles with repeats, XXH64 of each, and their votes.
+
+    words: how many 64-bit words the fingerprint has. No text or no word: all zero. Fewer words than a
+    shingle: one shingle of all of them.
+    """
+    return votes(shingles(text, shingle), words)
+
+
 _BITS = _bit_table()
 
 
@@ -76,15 +88,43 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int, words: int = 1,
     return docs.select(*keep, fp(F.col(text)).alias("fp"))
 
 
-def parts_of(bits: int, parts: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each part; widths differ by one at most and are 15 at least."""
-    cuts = [bits * k // parts for k in range(parts + 1)]
-    out = [(a, b - a) for a, b in zip(cuts, cuts[1:])]
-    if min(n for _, n in out) < 15 or max(n for _, n in out) > 26:
-        raise ValueError("a part needs 15 to 26 bits")
+def sure(blocks: int, take: int) -> int:
+    """Bits that two fingerprints may differ in while some `take` of `blocks` blocks hold one of them at most."""
+    alone = 2 * (blocks - take + 1)
+    return (min(alone, blocks - take + 2) if take > 1 else alone) - 1
+
+
+def keys_of(bits: int, blocks: int, take: int) -> list[list[tuple[int, int]]]:
+    """For each choice of `take` blocks the (first bit, bits) of these blocks; a key has 15 to WIDEST bits."""
+    cuts = [bits * k // blocks for k in range(blocks + 1)]
+    out = [list(c) for c in itertools.combinations([(a, b - a) for a, b in zip(cuts, cuts[1:])], take)]
+    width = [sum(n for _, n in key) for key in out]
+    if min(width) < 15 or max(width) > WIDEST:
+        raise ValueError(f"a key needs 15 to {WIDEST} bits")
     return out
 
 
+def layout(bits: int, distance: int, n: int) -> list[list[tuple[int, int]]]:
+    """The keys of least expected work for n fingerprints among those that are sure to find links of `distance` bits.
+
+    Wider keys send a fingerprint to more anchors and compare it with fewer others there: the pairs at an anchor
+    grow with n over 2^(width - 4), so the width follows the logarithm of n and the work stays about linear.
+    """
+    best = None
+    for blocks in range(1, 13):
+        for take in range(1, blocks + 1):
+            low, high = bits // blocks * take, -(-bits // blocks) * take
+            if low < 15 or high > WIDEST or sure(blocks, take) < distance:
+                continue
+            keys, width = math.comb(blocks, take), bits * take // blocks
+            work = keys * (1 + 3.3 + (width - 15) / 2) * (ROW_WORK + n / 2 ** (width - 4))
+            if best is None or work < best[0]:
+                best = work, blocks, take
+    if best is None:
+        raise ValueError("no keys are sure to find links of so many bits")
+    return keys_of(bits, *best[1:])
+
+
 @functools.cache
 def _hamming() -> tuple[np.ndarray, np.ndarray]:
     """For each word of 15 bits the number of its nearest code word, and the numbers of the other code words whose
@@ -117,10 +157,13 @@ def _field(fps: np.ndarray, first: int, bits: int) -> np.ndarray:
     return (x & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def anchors(fps: np.ndarray, first: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home anchors of the fingerprints, and (row, anchor) of every visit elsewhere."""
+def anchors(fps: np.ndarray, key: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home anchors of the fingerprints for a key, and (row, anchor) of every visit elsewhere."""
     home15, near15 = _hamming()
-    x = _field(fps, first, bits)
+    x, bits = np.zeros(len(fps), np.int64), 0
+    for first, n in key:
+        x |= _field(fps, first, n) << bits
+        bits += n
     low, rest = x & 0x7FFF, x >> 15
     rows, cells = [], []
     for j in range(7):
@@ -152,22 +195,37 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges a, b over n nodes make up a spanning forest: every component, in rounds, takes its first edge
+    that leads to another one."""
+    label, taken, open_ = np.arange(n), np.zeros(0, np.int64), np.arange(len(a))
+    while True:
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+        if not len(open_):
+            return taken
+        first = np.full(n, len(a))
+        np.minimum.at(first, label[a[open_]], open_)
+        np.minimum.at(first, label[b[open_]], open_)
+        taken = np.concatenate([taken, np.unique(first[first < len(a)])])
+        label = forest(a[taken], b[taken], n)
+
+
 def _limbs(column: pa.Array, words: int) -> np.ndarray:
     chunk = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(chunk.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
 
 
-def _near(fps: np.ndarray, hi: np.ndarray, vi: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(fps: np.ndarray, hi: np.ndarray, vi: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, ...]]:
     d = np.zeros(len(hi), np.int64)
     for k in range(fps.shape[1]):
         d += np.bitwise_count(fps[hi, k] ^ fps[vi, k])
     ok = (d <= distance) & (vi > hi)
     if ok.any():
-        yield hi[ok], vi[ok]
+        yield hi[ok], vi[ok], d[ok]
 
 
-def _matches(fps: np.ndarray, h_at: np.ndarray, h_n: np.ndarray, v_at: np.ndarray, v_n: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked (home, other) rows of groups: group g compares rows h_at[g] + 0..h_n[g] with rows v_at[g] + 0..v_n[g] that
+def _matches(fps: np.ndarray, h_at: np.ndarray, h_n: np.ndarray, v_at: np.ndarray, v_n: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Linked (home, other, differing bits) of groups: group g compares rows h_at[g] + 0..h_n[g] with rows v_at[g] + 0..v_n[g] that
     come after them, in steps of about STEP pairs."""
     total = h_n * v_n
     g, group_ends = 0, np.cumsum(total)
@@ -188,32 +246,31 @@ def _matches(fps: np.ndarray, h_at: np.ndarray, h_n: np.ndarray, v_at: np.ndarra
         g = end
 
 
-def links(prints: DataFrame, bits: int, parts: int, distance: int) -> DataFrame:
-    """Edges (a, b) that connect the same fingerprints as all links of at most `distance` bits.
+def links(prints: DataFrame, bits: int, keys: list[list[tuple[int, int]]], distance: int) -> DataFrame:
+    """Pairs (a, b) of fingerprints of at most `distance` differing bits that connect the same fingerprints as all such
+    pairs that differ in one bit of some key at most.
 
     prints: (fp binary), distinct. Each comparing task returns a spanning forest of the links that it
-    found, so a dense group of n near copies gives about n edges, not n squared. Anchors with over HOMES
-    homes are split: homes are salted, and visit the lower salts; visitors go to every salt. The table
-    of split anchors is bounded by the code's size. Links are complete up to 2 * parts - 1 bits; links
-    of more bits, up to `distance`, are found when some part differs in one bit at most.
+    found, the closest first, so a dense group of n near copies gives about n edges, not n squared. Anchors with over HOMES
+    homes are split: homes are salted, and visit the lower salts; visitors go to every salt.
     """
-    words, layout = bits // 64, parts_of(bits, parts)
+    words = bits // 64
 
     def spread(batches: Iterator[pa.RecordBatch], homes_only: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 piece = batch.slice(at, 2000)
                 fps, base = _limbs(piece.column("fp"), words), 0
-                for first, n in layout:
-                    home, rows, cells = anchors(fps, first, n)
+                for key in keys:
+                    home, rows, cells = anchors(fps, key)
                     if homes_only:
                         yield pa.RecordBatch.from_arrays([pa.array(base + home)], ["cell"])
                     else:
-                        # place: the anchor, 31 bits for a salt, and 1 for a visitor, so that homes sort first
-                        place = np.concatenate([(base + home) << 32, (base + cells) << 32 | 1])
+                        # place: the anchor, SALT bits for a salt, and 1 for a visitor, so that homes sort first
+                        place = np.concatenate([(base + home) << SALT + 1, (base + cells) << SALT + 1 | 1])
                         who = pa.array(np.concatenate([np.arange(len(home)), rows]))
                         yield pa.RecordBatch.from_arrays([pa.array(place), piece.column("fp").take(who)], ["place", "fp"])
-                    base += 1 << (n - 4)
+                    base += 1 << (sum(n for _, n in key) - 4)
 
     crowded = cut(
         prints.mapInArrow(lambda it: spread(it, True), "cell long")
@@ -221,9 +278,8 @@ def links(prints: DataFrame, bits: int, parts: int, distance: int) -> DataFrame:
         .select(F.col("cell").alias("crowded"), F.ceil(F.col("count") / HOMES).cast("int").alias("salts"))
     )
     dealt = prints.mapInArrow(spread, "place long, fp binary")
-    # At most one row per anchor of the code: 2^(bits of a part - 4) for each part.
     if not crowded.isEmpty():
-        met = dealt.join(F.broadcast(crowded), F.shiftright("place", 32) == F.col("crowded"), "left")
+        met = dealt.join(small(crowded), F.shiftright("place", SALT + 1) == F.col("crowded"), "left")
         salted = F.expr(
             """CASE WHEN salts IS NULL THEN array(place)
             WHEN place % 2 = 1 THEN transform(sequence(0, salts - 1), s -> place + 2 * s)
@@ -253,48 +309,78 @@ def links(prints: DataFrame, bits: int, parts: int, distance: int) -> DataFrame:
             v_at[0], v_n[0] = v_at[0] + old, v_n[0] - old  # the carried homes have met one another
             found = list(_matches(fps, starts, h_n, v_at, v_n, distance))
             if found:
-                ends = np.concatenate([np.concatenate(side) for side in zip(*found)])
-                rows, at = np.unique(ends, return_inverse=True)
+                a, b, apart = (np.concatenate(side) for side in zip(*found))
+                closest = np.argsort(apart, kind="stable")
+                rows, at = np.unique(np.concatenate([a[closest], b[closest]]), return_inverse=True)
                 names, one = np.unique(fps[rows].byteswap().view(f"V{8 * words}").ravel(), return_inverse=True)
-                at, half = one[at], len(ends) // 2
-                root = forest(at[:half], at[half:], len(names))
-                moved = np.flatnonzero(root != np.arange(len(names)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[moved]], pa.binary()), pa.array([x.tobytes() for x in names[root[moved]]], pa.binary())], ["a", "b"])
+                a, b = one[at].reshape(2, -1)
+                keep = spanning(a, b, len(names))
+                if len(keep):
+                    sides = [pa.array([x.tobytes() for x in names[end[keep]]], pa.binary()) for end in (np.minimum(a, b), np.maximum(a, b))]
+                    yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
 
     return dealt.mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def near_duplicates(printed: DataFrame, id_col: str, bits: int, parts: int, distance: int) -> DataFrame:
+def near_duplicates(printed: DataFrame, id_col: str, bits: int, distance: int) -> DataFrame:
     """Adds component_id, the least id_col reachable over links, to (id_col, fp, ...).
 
-    Equal fingerprints meet first, in a partial aggregate; only distinct ones are joined. An id_col that
-    is null never names a component unless all of it are null.
+    Equal fingerprints meet first, in a partial aggregate; only distinct ones are joined, by keys chosen from their
+    number, and every link is found. An id_col that is null never names a component unless all of it are null.
     """
     ship(printed.sparkSession)
     printed = cut(printed)
     nodes = cut(printed.groupBy("fp").agg(F.min(id_col).alias("gm_least")))
-    roots = components(links(nodes.select("fp"), bits, parts, distance))
+    roots = components(links(nodes.select("fp"), bits, layout(bits, distance, nodes.count()), distance))
     linked = cut(nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("gm_root", F.coalesce("root", "fp")))
     least = cut(linked.groupBy("gm_root").agg(F.min("gm_least").alias("component_id")).withColumnRenamed("gm_root", "gm_r"))
     named = linked.join(least, F.col("gm_root") == F.col("gm_r")).select(F.col("fp").alias("gm_fp"), "component_id")
     return printed.join(named, F.col("fp") == F.col("gm_fp")).select(*printed.columns, "component_id")
 
 
+def near_copies(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """KEY of the least document of each component over links of a Jaccard similarity of `similarity` or more.
+
+    Documents with the same shingle set are one node (all without a word, too). Nodes whose fingerprints meet at an
+    anchor and differ in NEAR bits at most are held against each other by their sets, exactly; fingerprints of 64
+    bits miss some pairs of that similarity, so jaccard.missing then searches the pairs that are not yet connected.
+    """
+    ship(docs.sparkSession)
+
+    def prints(s: np.ndarray) -> bytes:
+        return np.array(votes(s, 1), ">u8").tobytes()
+
+    nodes = jaccard.nodes(docs, shingle, prints)
+    same = nodes.groupBy("fp").agg(F.min("id").alias("first"))
+    same = cut(same)
+    least = same.select(F.col("fp").alias("f"), "first")
+    equal = nodes.join(least, F.col("fp") == F.col("f")).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = links(same.select("fp"), 64, layout(64, SURE, same.count()), NEAR)
+    x, y = (same.select(F.col("fp").alias(f"f{side}"), F.col("first").alias(f"i{side}")) for side in "ab")
+    met = near.join(x, F.col("a") == F.col("fa")).join(y, F.col("b") == F.col("fb")).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    found = jaccard.verified(cut(equal.union(met)), nodes, docs, shingle, similarity)
+    roots = jaccard.missing(docs, nodes, found, shingle, similarity).withColumnRenamed("node", "gm_node")
+    grouped = nodes.join(roots, F.col("node") == F.col("gm_node"), "left").groupBy(F.coalesce("root", "node").alias("gm_root"))
+    return grouped.agg(F.min("gm_least").alias("gm_least")).select(*[F.col(f"gm_least.{c}") for c in KEY])
+
+
 def dedup_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group of docs: the one of least doc_id (then least row hash; a null doc_id last).
 
     Documents link when their sets of shingles of `shingle` words have a Jaccard similarity of `similarity` or more;
-    every such pair does. Documents without a word are a group of their own; repeated rows are one document.
+    every such pair does, and no other. Null, empty and wordless texts are a group of their own; a text of fewer
+    words than a shingle is one shingle; texts of any length are compared whole; repeated rows are one document.
+    Without rows the result is empty; further columns pass through, whatever their names and types.
     """
-    return rejoin(docs, jaccard.near_duplicates(docs, shingle, similarity))
+    return rejoin(docs, near_copies(docs, shingle, similarity)).select(f"{ROW}.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: 4-word shingles, links at 4 differing bits or fewer.
 
     A null, empty or wordless text has fingerprint 0, which links like any other. Ties and repeated rows
-    share a component; a null doc_id keeps its row and never names a component that has a known one.
+    share a component; a null doc_id keeps its row and never names a component that has a known one. Texts are
+    read whole, at any length; other columns are not read; without rows the result is empty.
     """
     printed = fingerprints(table(spark, sf_dir, "documents"), ["doc_id"], 4)
-    return near_duplicates(printed, "doc_id", 64, 3, 4).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return near_duplicates(printed, "doc_id", 64, 4).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from gristmill.llm import simhash
@@ -43,8 +44,8 @@ def test_anchors_cover_every_word_within_one_bit():
     for bit in range(21):
         y = x | np.uint64(1 << bit)
         x0 = y ^ np.uint64(1 << bit)
-        home, _, _ = simhash.anchors(x0, 0, 21)
-        own, rows, cells = simhash.anchors(y, 0, 21)
+        home, _, _ = simhash.anchors(x0, [(0, 21)])
+        own, rows, cells = simhash.anchors(y, [(0, 21)])
         seen = set(zip(rows.tolist(), cells.tolist()))
         assert len(seen) == len(rows)
         assert all(own[i] == h or (i, int(h)) in seen for i, h in enumerate(home))
@@ -73,25 +74,43 @@ def test_query_against_brute_force(spark, tmp_path):
     assert all(len(r.fingerprint) == 16 for r in got)
 
 
-def test_split_anchors_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("blocks,take", [(3, 1), (5, 2), (6, 3)])
+def test_split_anchors_lose_no_link(spark, monkeypatch, blocks, take):
     monkeypatch.setattr(simhash, "HOMES", 2)
     base = 0x123456789ABCDEF0
     fps = sorted({base ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(12)})
     nodes = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary")
-    found = simhash.links(nodes, 64, 3, 4)
+    found = simhash.links(nodes, 64, simhash.keys_of(64, blocks, take), 4)
     got = {int.from_bytes(r.node): int.from_bytes(r.root) for r in components(found).collect()}
     pairs = [(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 4]
     assert got == roots(fps, pairs)
     assert len(pairs) > 5 * found.count()
 
 
+def test_keys_widen_with_the_data_and_stay_sure():
+    widths = []
+    for n in (10**3, 10**6, 10**9, 10**11):
+        keys = simhash.layout(64, 4, n)
+        widths.append(sum(size for _, size in keys[0]))
+        for trial in range(200):
+            bits = random.Random(trial).sample(range(64), 4)
+            assert min(sum(first <= b < first + size for b in bits for first, size in key) for key in keys) <= 1
+    assert widths == sorted(widths) and widths[0] < widths[-1]
+    assert [simhash.sure(3, 1), simhash.sure(5, 2), simhash.sure(6, 3)] == [5, 4, 4]
+
+
+def test_spanning_forest_takes_the_first_edges():
+    a, b = np.array([0, 1, 0, 3, 4]), np.array([1, 2, 2, 4, 5])
+    assert sorted(simhash.spanning(a, b, 7).tolist()) == [0, 1, 3, 4]
+
+
 def test_groups_over_many_batches(spark):
     base = 0x0F0F0F0F12345678
     fps = sorted({base ^ (1 << i) ^ (1 << j) ^ (1 << k) for i in range(30, 52) for j in range(30, 52) for k in range(30, 52)})
     nodes = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary").coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
-        got = components(simhash.links(nodes, 64, 3, 2)).select("root").distinct().count()
+        got = components(simhash.links(nodes, 64, simhash.keys_of(64, 3, 1), 2)).select("root").distinct().count()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     pairs = [(f, f ^ (1 << i) ^ (1 << j)) for f in fps for i in range(30, 52) for j in range(30, i)]
