@@ -10,19 +10,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import ship, table
 
+#: Where the vocabulary file of op4_token_counts is: a setting of the session, else a variable of the environment, else a default.
+SETTING, VARIABLE = "gristmill.vocabulary", "GRISTMILL_VOCABULARY"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public byte-level vocabularies split text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("longest", "first", "last")
+#: Runs of white space that PATTERN's look-ahead can't take; every one ends a piece before its last character.
+LONG_SPACE = regex.compile(r"\p{White_Space}{1000,}")
 
 _KEPT: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
@@ -60,6 +66,18 @@ def attribute(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarr
     return out, crossing
 
 
+def encode(text: str, enc: tiktoken.Encoding) -> list[int]:
+    """The tokens of a text. Long runs of white space are taken out before the pattern sees them, as the pieces that it would
+    make of them: all of a run at the end, else all but its last character, which goes with what follows."""
+    out, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:])
+
+
 def line_bounds(data: np.ndarray) -> np.ndarray:
     """Where the lines of a text begin and the last one ends; a line keeps its line feed."""
     return np.unique(np.concatenate([[0], np.flatnonzero(data == 10) + 1, [len(data)]]))
@@ -71,7 +89,7 @@ def count_text(text: str, enc: tiktoken.Encoding, size: np.ndarray, bounds: np.n
     if not data:
         return np.zeros(0, np.int64), 0
     bounds = line_bounds(np.frombuffer(data, np.uint8)) if bounds is None else bounds
-    ends = np.cumsum(size[np.array(enc.encode_ordinary(text), np.int64)])
+    ends = np.cumsum(size[np.array(encode(text, enc), np.int64)])
     section, crossing = attribute(ends, bounds, rule)
     return np.bincount(section, minlength=len(bounds) - 1), int(crossing.sum())
 
@@ -120,6 +138,8 @@ def field_counts(docs: DataFrame, fields: list[str], ranks: bytes, between: str
 
 def load(path: str = VOCABULARY) -> bytes:
     """A vocabulary file of token ranks, read by the driver and sent to the workers with the code (under 2 MB)."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary file at {path}: name one by the setting {SETTING} or the variable {VARIABLE}")
     with open(path, "rb") as f:
         return f.read()
 
@@ -127,7 +147,10 @@ def load(path: str = VOCABULARY) -> bytes:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_crossing, n_lines, line_tokens of every document, each encoded whole.
 
-    line_tokens sums to n_tokens. A null or empty text has no token and no line. Equal texts count alike.
+    line_tokens sums to n_tokens. A null or empty text has no token and no line. Equal texts count alike; texts of any
+    length are encoded whole, long runs of white space included; without rows the result is empty; other columns are
+    not read.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", token_counts(F.col("text"), load()).alias("t"))
+    ranks = load(spark.conf.get(SETTING, None) or os.environ.get(VARIABLE) or VOCABULARY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", token_counts(F.col("text"), ranks).alias("t"))
     return docs.select("doc_id", "t.n_tokens", "t.n_crossing", F.size("t.line_tokens").cast("long").alias("n_lines"), "t.line_tokens")

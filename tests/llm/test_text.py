@@ -113,6 +113,16 @@ def test_line_tokens_against_bytes(enc):
         tokens.attribute(np.array([1]), np.array([0, 1]), "none")
 
 
+def test_long_runs_of_space_are_encoded_as_the_pattern_would(enc):
+    e, size = enc
+    for run in (" " * 1500, "\n" * 1200, " \t\u2003" * 700, "\n" * 999 + " " * 500):
+        for text in (run, f"a{run}", f"{run}b", f"a{run}b{run}!{run}", f"{run}\x1c{run}9"):
+            assert tokens.encode(text, e) == e.encode_ordinary(text)
+    counts, crossing = tokens.count_text(" " * 5_000_000 + "a", e, size)
+    assert counts.tolist() == [5_000_000] and crossing == 0
+    assert tokens.count_text("a" * 5_000_000, e, size)[0].sum() < 5_000_000
+
+
 def test_token_query_and_fields(spark, tmp_path, enc):
     rows = [(1, "one two\nthree", "t"), (2, None, None), (3, "", "x"), (4, "a " * 3000, "y"), (4, "a " * 3000, "y"), (None, "\n", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
