@@ -10,10 +10,13 @@ into a score; texts whose cross-entropy lies beyond nearly all of those are mark
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ CACHED_SCORES = 100 * CACHED_WORDS
 UNKNOWN = "und"
 START, END = 2, 3
 
+#: A word to the models, in training and in prediction alike: a letter and the letters and marks after it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 NO_LETTER = np.zeros(256, bool)
 NO_LETTER[:128] = [not chr(i).isalpha() for i in range(128)]
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -124,7 +129,9 @@ def train(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
             contexts[n - 1].append((ctx, np.minimum(1.0, np.where(kinds > 0, discount * kinds / total, 1.0))))
     if not languages:
         return Model([], [], [], 1.0, order=order)
-    return Model(languages, [_blocks(g, 0.0) for g in grams], [_blocks(c, 1.0) for c in contexts], 1 / (len(alphabet) + 2), order=order)
+    model = Model(languages, [_blocks(g, 0.0) for g in grams], [_blocks(c, 1.0) for c in contexts], 1 / (len(alphabet) + 2), order=order)
+    model.name = hashlib.sha256(b"".join(x.tobytes() for blocks in model.grams for pair in blocks for x in pair)).hexdigest()
+    return model
 
 
 def _found(blocks: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, empty: float) -> np.ndarray:
@@ -153,6 +160,11 @@ def word_scores(model: Model, vocabulary: list[str]) -> np.ndarray:
     return out
 
 
+def split(run: bytes) -> list[str]:
+    """The words in a run of bytes between two ASCII characters that are no letters."""
+    return WORD.findall(run.decode("utf-8", "replace").lower())
+
+
 class _Scores:
     """Scores of words by hash, kept for a model over the tasks of a worker."""
 
@@ -167,9 +179,11 @@ class _Scores:
         at = [self.at.get(k) for k in key.tolist()]
         new = [i for i, x in enumerate(at) if x is None]
         if new:
-            names = ["".join(c for c in word(i).decode("utf-8", "replace").lower() if c.isalpha()) for i in new]
-            rows = word_scores(self.model, names)
-            rows[[not n for n in names]] = 0
+            parts = [split(word(i)) for i in new]
+            each = word_scores(self.model, [w for p in parts for w in p])
+            ends = np.cumsum([0, *map(len, parts)])
+            total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)])
+            rows = total[ends[1:]] - total[ends[:-1]]
             base = len(self.at)
             while base + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
@@ -224,13 +238,33 @@ def calibrate(model: Model, ce: np.ndarray, n: np.ndarray, truth: np.ndarray, be
 
 
 def labelled_sample(docs: DataFrame, seed: int = 7, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, text, half) of about sample_docs documents a language that may be learned from: lang known,
-    crc32 of doc_id modulo 4 other than 2."""
+    """(lang, text, half) of about sample_docs distinct texts a language that may be learned from: lang known,
+    crc32 of doc_id modulo 4 other than 2 (a null doc_id has none, and may). The draw goes by doc_id and text, and
+    equal texts count once: neither null ids nor groups of copies make the sample larger."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     n = known.groupBy("lang").count().select("lang", (1e6 * F.least(F.lit(1.0), F.lit(sample_docs) / F.col("count"))).cast("int").alias("gm_limit"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000))
-    half = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(2))
-    return known.join(small(n), "lang").where(draw < F.col("gm_limit")).select("lang", "text", half.alias("half"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1_000_000))
+    half = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("text")), F.lit(2))
+    return known.join(small(n), "lang").where(draw < F.col("gm_limit")).select("lang", "text").distinct().select("lang", "text", half.alias("half"))
+
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """(lang, word, n) over the texts of a sample, split as for prediction."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            for first, data, offsets in chunks(texts):
+                data = _FOLD[data]
+                starts, ends, text = words(data, offsets, NO_LETTER)
+                held: Counter = Counter()
+                for a, b, i in zip(starts.tolist(), ends.tolist(), text.tolist()):
+                    held[batch.column("lang")[first + i].as_py(), data[a:b].tobytes()] += 1
+                rows = [(lang, w, n) for (lang, run), n in held.items() for w in split(run)]
+                lang, word, n = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+
+    return sample.select("lang", "text").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def held_out() -> Column:
@@ -242,12 +276,10 @@ def fit(docs: DataFrame) -> Model:
     sample reach the driver."""
     ship(docs.sparkSession)
     sample = cut(labelled_sample(docs))
-    letters = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in sample.where("half = 0").select("lang", letters.alias("w")).groupBy("lang", "w").count().toLocalIterator():
+    for lang, word, n in word_counts(sample.where("half = 0")).toLocalIterator():
         counts.setdefault(lang, {})[word] = n
     model = train(counts)
-    model.name = hashlib.sha256(b"".join(x.tobytes() for blocks in model.grams for pair in blocks for x in pair)).hexdigest()
     if not model.languages:
         return model
     rows = sample.where("half = 1").where(F.col("lang").isin(model.languages)).select("lang", _scored(model, F.col("text")).alias("s")).collect()
@@ -268,10 +300,13 @@ def _scored(model: Model, text: Column) -> Column:
 
 
 def predict(model: Model, text: Column) -> Column:
-    """struct<lang_pred, score, cross_entropy, rejected>; UNKNOWN with score 0 for a null text or one without a letter."""
+    """struct<lang_pred, score, cross_entropy, rejected>; UNKNOWN with score 0 for a null text or one without a letter.
+    The model, of the size of the bounded sample, goes to the workers once, as a broadcast variable."""
+    sent = SparkSession.active().sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,cross_entropy:double,rejected:boolean>")
     def run(texts: pa.Array) -> pa.Array:
+        model = sent.value
         if not model.languages:
             lang, score, low, bad = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
         else:
@@ -287,8 +322,9 @@ def predict(model: Model, text: Column) -> Column:
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected of every document.
 
-    A null doc_id is not held out and has no labelled draw. Repeated rows and ties are scored alike; of
-    equal cross-entropies the language first by name wins. Without labelled documents every prediction is und.
+    A null doc_id is not held out, and may be learned from. Repeated rows and ties are scored alike; of
+    equal cross-entropies the language first by name wins. Texts of any length are scored whole. Without labelled
+    documents every prediction is und; without rows the result is empty; other columns are not read.
     """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.select("doc_id", "text", "lang"))

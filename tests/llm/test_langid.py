@@ -123,3 +123,22 @@ def test_blocks_of_languages_give_the_same_scores(monkeypatch):
     whole = langid.word_scores(langid.train(counts), probe)
     monkeypatch.setattr(langid, "BLOCK", 3)
     assert np.array_equal(langid.word_scores(langid.train(counts), probe), whole)
+
+
+def test_training_and_prediction_split_alike(spark):
+    text = "हिन्दी भाषा, don\u2019t stop—now Straße 12ab"
+    want = [w for run in text.replace(",", " ").split() for w in langid.split(run.encode())]
+    assert "हिन्दी" in want and {"don", "t", "now", "straße", "ab"} <= set(want)
+    got = langid.word_counts(spark.createDataFrame([("x", text), ("x", text)], "lang string, text string"))
+    assert {(r.lang, r.word): r.n for r in got.collect()} == {("x", w): 2 * want.count(w) for w in want}
+    model = langid.train({"x": {w: 1 for w in want}, "y": {"abc": 1}})
+    ce, n = langid.entropies(model, pa.array([text, "१२ 12", None, "\u093f"]))
+    assert n.tolist() == [sum(len(w) + 1 for w in want), 0, 0, 0]
+    assert np.isclose(ce[0, 0] * n[0], -langid.word_scores(model, want)[:, 0].sum())
+
+
+def test_samples_are_bounded_by_distinct_texts(spark):
+    rows = [(None, "same text", "en")] * 3000 + [(i, f"text {i}", "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.labelled_sample(docs, sample_docs=100)
+    assert got.count() < 200 and got.groupBy("text").count().where("count > 1").isEmpty()
