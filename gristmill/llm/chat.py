@@ -215,11 +215,13 @@ def repair(turns: DataFrame) -> DataFrame:
 
     seq numbers the repaired turns of a conversation; merged turns share the seq of the one they join.
     The rendered texts of a conversation, in order of seq, then turn, make up the whole rendering.
-    Turns are ordered by turn, then role and text (nulls last); an unknown or null role fits no state and
-    is relabelled or merged; a null text is empty; a null conv_id is a conversation of its own.
+    Turns are ordered by turn, then role (nulls last) and a hash of the text, so that no text is a bound between tasks; an
+    unknown or null role fits no state and is relabelled or merged; a null text is empty; a null conv_id is a
+    conversation of its own; repeated rows are turns of their own; texts of any length pass through whole. Without
+    rows the result is empty; other columns are not read.
     """
     ship(turns.sparkSession)
-    order = [F.col(c).asc_nulls_last() for c in ("conv_id", "turn", "role", "text")]
+    order = [F.col(c).asc_nulls_last() for c in ("conv_id", "turn", "role")] + [F.xxhash64("text")]
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("gm_part", F.spark_partition_id()))
     edges = dealt.select("conv_id", "role", "gm_part").mapInArrow(_edges, "part int, conv_id long, costs array<long>, puts array<long>").collect()

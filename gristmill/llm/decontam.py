@@ -194,7 +194,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, item_ids, distances, and hits with word spans, of every document.
 
     A null, empty or wordless text holds nothing, and such an item is held by nothing. Repeated rows and
-    items of equal words are matched alike, each under its own id.
+    items of equal words are matched alike, each under its own id. Texts of any length are searched whole; without
+    documents the result is empty, without items nothing is held; other columns are not read.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", hits(F.col("text"), table(spark, sf_dir, "benchmark")).alias("hits"))
     return docs.select(

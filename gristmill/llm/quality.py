@@ -181,7 +181,9 @@ def keep_documents(docs: DataFrame, rules: list[Rule] = RULES, least: float = 0.
     """The documents of docs that the base limits pass and whose posterior is `least` or more.
 
     The texts are measured twice, once for the votes of the whole corpus and once to filter: nothing of
-    the size of the corpus is stored between.
+    the size of the corpus is stored between. Null and empty texts have no words and go; texts of any length are
+    measured whole; repeated rows vote and stay, or go, alike. Without rows the result is empty; further columns pass
+    through, whatever their types; names that begin with gm_ are this library's.
     """
     ship(docs.sparkSession)
     measured = docs.withColumn("gm_f", features(F.col("text")))
@@ -193,7 +195,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior.
 
     A null or empty text has no words and fails the base limits. Repeated rows vote once each. Counts of
-    equal lines and windows compare 64-bit hashes within one text.
+    equal lines and windows compare 64-bit hashes within one text. Texts of any length are measured whole; without
+    rows the result is empty; other columns are not read.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", features(F.col("text")).alias("f"))
     docs = cut(docs)

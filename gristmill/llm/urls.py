@@ -122,24 +122,25 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         .where("passed_on is not null")
     )
     aliases = groups.join(decided, F.col("root") == F.col("d_root")).select(F.col("node").alias("alias"), "passed_on")
-    known = pages.join(judged, F.col("url") == F.col("m_url"), "left")
-    known = known.withColumn("gm_node", F.when(F.col("rule").isNull(), node_of(F.col("url"))))
-    return known.join(aliases, F.col("gm_node") == F.col("alias"), "left").select(
-        *[F.col(f"`{c}`") for c in pages.columns],
-        F.coalesce("host", F.lit("")).alias("host"),
-        F.coalesce("path", F.lit("")).alias("path"),
-        "rule",
-        F.coalesce("verdict", "passed_on", F.lit(default)).alias("verdict"),
-    )
+    passed = judged.join(aliases, node_of(F.col("m_url")) == F.col("alias"), "left")
+    final = passed.select("m_url", "host", "path", "rule", F.coalesce("verdict", "passed_on", F.lit(default)).alias("verdict"))
+    # Pages without a url meet nothing; they are kept out of the join, in which all of them would be one key.
+    own = [F.col(f"`{c}`") for c in pages.columns]
+    known = pages.where("url IS NOT NULL").join(final, F.col("url") == F.col("m_url"))
+    unknown = pages.where("url IS NULL")
+    constants = [F.lit(x).cast("string").alias(c) for c, x in (("host", ""), ("path", ""), ("rule", None), ("verdict", default))]
+    return known.select(*own, "host", "path", "rule", "verdict").union(unknown.select(*own, *constants))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict of every page under RULES.
 
     A null url or one without :// has an empty host and path, fits no rule and is an alias of nothing
-    but what it links to; null html has no links. Repeated rows are judged alike, each in its own row.
+    but what it links to; null html has no links. Repeated rows are judged alike, each in its own row. Pages of any
+    length are read whole; without rows the result is empty; other columns are not read.
     """
-    rules = spark.createDataFrame(RULES, "verdict string, rule string")
+    listed = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in RULES])
+    rules = spark.range(1).select(F.inline(listed))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 

@@ -64,14 +64,20 @@ def _powers(n: int) -> np.ndarray:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the byte runs [start, end), which follow one another without overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each of the byte runs [start, end), which follow one another without overlap. Runs are taken in steps
+    of about STEP bytes, so that a long text needs no more room than its words."""
+    out = np.zeros(len(starts), np.uint64)
     size = ends - starts
-    total = int(size.sum())
-    step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-    value = _VALUE[data[np.repeat(starts, size) + step]] * _powers(int(size.max()) + 1)[step]
-    return mixed(np.add.reduceat(value, np.cumsum(size) - size) ^ size.astype(np.uint64) * _BASE)
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + STEP, "right")))
+        n, begin = size[at:end], np.cumsum(size[at:end]) - size[at:end]
+        step = np.arange(int(n.sum())) - np.repeat(begin, n)
+        value = _VALUE[data[np.repeat(starts[at:end], n) + step]] * _powers(int(n.max()) + 1)[step]
+        out[at:end] = mixed(np.add.reduceat(value, begin) ^ n.astype(np.uint64) * _BASE)
+        at = end
+    return out
 
 
 def per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
