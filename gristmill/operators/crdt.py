@@ -43,7 +43,7 @@ def preorder(atoms: DataFrame) -> DataFrame:
 
     The tour of the tree is a linked list of one entry and one exit per atom; places come from pointer
     doubling, a join a round and about log2 of the atoms rounds, so a document of any length or depth
-    is spread over the cluster. Atoms that hang from an unknown one or from a cycle are left out.
+    is spread over the cluster; only the children of one atom are sorted by one task. Atoms that hang from an unknown one or from a cycle are left out.
     """
     parent = F.coalesce("predecessor_id", F.lit(ROOT))
     nodes = cut(atoms.withColumn("parent", parent))
@@ -75,8 +75,8 @@ def preorder(atoms: DataFrame) -> DataFrame:
             break
         now = new
     reached = now.where((F.col("to") == end) & F.col("at").startswith("<")).select(F.col("doc").alias("rd"), F.expr("substr(at, 2)").alias("ri"), "w")
-    last = Window.partitionBy("rd")
-    placed = reached.withColumn("pos", F.max("w").over(last) - F.col("w")).drop("w")
+    last = reached.groupBy(F.col("rd").alias("ld")).agg(F.max("w").alias("most"))
+    placed = reached.join(last, F.col("rd").eqNullSafe(F.col("ld"))).select("rd", "ri", (F.col("most") - F.col("w")).alias("pos"))
     return nodes.drop("parent").join(placed, (F.col("doc") == F.col("rd")) & (F.col("id") == F.col("ri"))).drop("rd", "ri")
 
 

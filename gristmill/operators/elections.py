@@ -120,5 +120,5 @@ def population_hull(population: Column, hull: Column) -> Column:
 
 def running_counts(ballots: DataFrame) -> DataFrame:
     """(ballot_id, pos, candidate, so_far): each candidate's approvals as the ballots are counted."""
-    w = Window.partitionBy("candidate").orderBy("ballot_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    return votes(ballots).withColumn("so_far", F.count(F.lit(1)).over(w))
+    counted = positions(votes(ballots), ["ballot_id", "pos"], ["candidate"], "gm_k")
+    return counted.select("ballot_id", "pos", "candidate", (F.col("gm_k") + 1).alias("so_far"))

@@ -42,9 +42,9 @@ def degree(graph: DataFrame) -> DataFrame:
     return graph.groupBy("u").agg(F.count("v").alias("degree"))
 
 
-def hops(graph: DataFrame, source, limit: int | None = None) -> DataFrame:
+def hops(graph: DataFrame, source, limit: int | None = None, goal=None) -> DataFrame:
     """(v, hops) of every vertex that source reaches, itself included, by breadth: a join and an anti-join a
-    round, each cut. Rounds end when the frontier is empty."""
+    round, each cut. Rounds end when the frontier is empty, or holds the goal."""
     graph = cut(graph)
     spark = graph.sparkSession
     kind = graph.schema["u"].dataType.simpleString()
@@ -57,6 +57,8 @@ def hops(graph: DataFrame, source, limit: int | None = None) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = cut(seen.union(frontier))
+        if goal is not None and not frontier.where(F.col("v") == goal).isEmpty():
+            break
     return seen
 
 
@@ -64,7 +66,7 @@ def shortest_path(graph: DataFrame, a, b) -> DataFrame:
     """(hops) from a to b: 0 from any vertex to itself, known or not; -1 where there is no path."""
     if a == b:
         return graph.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("hops"))
-    return hops(graph, a).where(F.col("v") == b).agg(F.coalesce(F.max("hops"), F.lit(-1).cast("bigint")).alias("hops"))
+    return hops(graph, a, goal=b).where(F.col("v") == b).agg(F.coalesce(F.max("hops"), F.lit(-1).cast("bigint")).alias("hops"))
 
 
 def has_path(graph: DataFrame, a, b) -> DataFrame:

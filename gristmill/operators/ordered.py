@@ -6,9 +6,12 @@ maximum; nothing is kept in memory between queries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.plans.ranking import positions
+from gristmill.session import cut
+
 # --- ordered set -------------------------------------------------------------------------------------
 
 
@@ -57,9 +60,17 @@ def predecessor(keys: DataFrame, x) -> DataFrame:
 
 
 def neighbours(keys: DataFrame, by: list[str]) -> DataFrame:
-    """(by, key, prev, next): each key's neighbours within its group."""
-    w = Window.partitionBy(*by).orderBy("key")
-    return keys.select(*by, "key", F.lag("key").over(w).alias("prev"), F.lead("key").over(w).alias("next"))
+    """(by, key, prev, next): each key's neighbours within its group. Keys meet by their places in the group, so a group of
+    any size is spread over the cluster."""
+    ranked = cut(positions(keys.select(*by, "key"), ["key"], by, "gm_k"))
+    out = ranked
+    for name, step in (("prev", 1), ("next", -1)):
+        beside = ranked.select(*[F.col(c).alias(f"gm_{name}_{c}") for c in by], (F.col("gm_k") + step).alias(f"gm_{name}"), F.col("key").alias(name))
+        on = F.col("gm_k") == F.col(f"gm_{name}")
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"gm_{name}_{c}"))
+        out = out.join(beside, on, "left")
+    return out.select(*by, "key", "prev", "next")
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -115,12 +126,13 @@ def longest_prefixes(keys: DataFrame, texts: DataFrame, text: str = "text") -> D
     """(text, prefix) of the distinct texts: the longest key that each begins with, empty if none.
 
     Every text asks for its prefixes of those lengths that some key has: an equi-join, not a comparison
-    of all texts with all keys.
+    of all texts with all keys. Keys have at most as many lengths as the longest of them has characters.
     """
     k = keys.select(F.col("key").alias("k"))
     t = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).distinct()
-    most = k.agg(F.coalesce(F.max(F.length("k")), F.lit(0))).first()[0]
-    asked = t.select("text", F.explode(F.expr(f"transform(sequence(0, least(length(text), {most})), n -> left(text, n))")).alias("p"))
+    lengths = k.agg(F.sort_array(F.collect_set(F.length("k"))).alias("lengths"))
+    fitting = F.expr("transform(filter(lengths, n -> n <= length(text)), n -> left(text, n))")
+    asked = t.join(F.broadcast(lengths)).select("text", F.explode(fitting).alias("p"))  # one row of distinct lengths
     hit = asked.where("p <> ''").join(k, F.col("p") == F.col("k"))
     best = hit.groupBy("text").agg(F.max_by("p", F.length("p")).alias("prefix")).withColumnRenamed("text", "t")
     return t.join(best, F.col("text") == F.col("t"), "left").select("text", F.coalesce("prefix", F.lit("")).alias("prefix"))

@@ -77,6 +77,8 @@ def cdf(df: DataFrame, value: str, probes: list[float]) -> DataFrame:
 
 # --- mergeable digest ------------------------------------------------------------------------------
 
+#: Groups whose digests a task holds at a time.
+HELD = 10_000
 CENTROIDS = "array<struct<mean:double,weight:double>>"
 
 
@@ -126,6 +128,16 @@ def digest(df: DataFrame, value: str, by: list[str], alpha: float = 100.0, weigh
         F.to_json(F.struct(*by)).alias("k"), F.col(value).cast("double").alias("x"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")
     )
 
+    def made(held: dict[str, tuple]) -> pa.RecordBatch:
+        ks, ms, ws, ls, hs = [], [], [], [], []
+        for k, (m, w, lo, hi) in held.items():
+            ks += [k] * len(m)
+            ms += m.tolist()
+            ws += w.tolist()
+            ls += [lo] * len(m)
+            hs += [hi] * len(m)
+        return pa.RecordBatch.from_arrays([pa.array(ks), pa.array(ms), pa.array(ws), pa.array(ls), pa.array(hs)], ["k", "mean", "weight", "least", "most"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple] = {}
         for batch in batches:
@@ -137,16 +149,11 @@ def digest(df: DataFrame, value: str, by: list[str], alpha: float = 100.0, weigh
                     a, b, c, d = held[k]
                     m, w, lo, hi = np.concatenate([a, m]), np.concatenate([b, w]), min(lo, c), max(hi, d)
                 held[k] = (*compress(m, w, alpha), lo, hi)
+            if len(held) > HELD:  # a task of many groups hands its partial digests on; they are merged like any others
+                yield made(held)
+                held = {}
         if held:
-            ks, ms, ws, ls, hs = [], [], [], [], []
-            for k, (m, w, lo, hi) in held.items():
-                ks += [k] * len(m)
-                ms += m.tolist()
-                ws += w.tolist()
-                ls += [lo] * len(m)
-                hs += [hi] * len(m)
-            yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(ms), pa.array(ws), pa.array(ls), pa.array(hs)], ["k", "mean", "weight", "least", "most"])
-
+            yield made(held)
     parts = rows.mapInArrow(partial, "k string, mean double, weight double, least double, most double")
 
     return _merged(parts, {c: df.schema[c].dataType.simpleString() for c in by}, alpha)

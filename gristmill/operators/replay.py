@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.plans.ranking import positions, small
+from gristmill.plans.ranking import positions, running, small
 from gristmill.session import cut, ship
 
 UNITS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
@@ -74,23 +74,25 @@ def anchors(times: DataFrame, length: int) -> DataFrame:
     probes = t.select((F.col("t") + length).alias("v"), F.lit(None).cast("bigint").alias("p"), "t")
     points = t.select(F.col("t").alias("v"), F.col("t").alias("p"), F.lit(None).cast("bigint").alias("t"))
     both = probes.union(points).withColumn("bucket", F.expr(f"v div {length}"))
-    ahead = Window.partitionBy("bucket").orderBy("v").rangeBetween(1, Window.unboundedFollowing)
-    near = both.withColumn("near", F.min("p").over(ahead)).where("t IS NOT NULL").select("t", "bucket", "near")
+    # From the latest on, a probe before a point of its time: the least point so far is the first after the probe.
+    passed = Window.partitionBy("bucket").orderBy(F.desc("v"), F.col("p").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("near", F.min("p").over(passed)).where("t IS NOT NULL").select("t", "bucket", "near")
     firsts = t.groupBy("bucket").agg(F.min("t").alias("first")).union(near.select("bucket", F.lit(None).cast("bigint")).distinct())
-    firsts = firsts.groupBy("bucket").agg(F.min("first").alias("first"))
-    later = Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)  # one row for each window length of time
-    after = firsts.select(F.col("bucket").alias("b"), F.min("first").over(later).alias("after"))
-    jump = cut(near.join(after, F.col("bucket") == F.col("b")).select("t", F.coalesce("near", "after").alias("to")).where("to IS NOT NULL"))
+    firsts = firsts.groupBy("bucket").agg(F.min("first").alias("first")).withColumn("back", -F.col("bucket"))
+    # A bucket's own first is no later one: its successor in time comes just before it in this order.
+    after = running(firsts, ["back"], [], least={"upto": F.col("first")})
+    rank = positions(after.select("back", "bucket", "upto"), ["back"], name="k")
+    before = rank.select((F.col("k") + 1).alias("k"), F.col("upto").alias("after"))
+    after = rank.select("k", F.col("bucket").alias("b")).join(before, "k").select("b", "after")
+    jump = cut(near.join(after, F.col("bucket") == F.col("b"), "left").select("t", F.coalesce("near", "after").alias("to")).where("to IS NOT NULL"))
     reach = cut(times.agg(F.min("t").alias("anchor")).where("anchor IS NOT NULL"))
-    n = reach.count()
-    while True:
+    while not jump.isEmpty():
+        # reach holds the first 2^k anchors, and jump leads 2^k anchors on.
         more = reach.join(jump, F.col("anchor") == F.col("t")).select(F.col("to").alias("anchor"))
-        reach = cut(reach.union(more).distinct())
-        old, n = n, reach.count()
-        if n == old:
-            return reach
+        reach = cut(reach.union(more))
         j2 = jump.select(F.col("t").alias("t2"), F.col("to").alias("to2"))
         jump = cut(jump.join(j2, F.col("to") == F.col("t2")).select("t", F.col("to2").alias("to")))
+    return reach
 
 
 def fixed_window(events: DataFrame, unit: str, limit: int, blacklist: list | None = None) -> DataFrame:
@@ -163,6 +165,10 @@ class Breaker:
         if not 0 < rate <= 1 or duration <= 0 or probes <= 0:
             raise ValueError("rate must be in (0, 1], duration and probes positive")
         self.rate, self.duration, self.probes = rate, duration, probes
+        self.reset()
+
+    def reset(self) -> None:
+        """Closed, with all counts at 0."""
         self.state, self.errors, self.total, self.p_errors, self.p_total, self.opened = "closed", 0, 0, 0, 0, 0
 
     @staticmethod
@@ -179,7 +185,7 @@ class Breaker:
                 return False
             self.state, self.p_errors, self.p_total = "half_open", 0, 0
         elif self.state == "half_open" and self.p_total >= self.probes:
-            if self._rate(self.p_errors, self.p_total) > self.rate:
+            if self.p_errors / self.p_total > self.rate:
                 self.state, self.opened = "open", second
                 return False
             self.state, self.errors, self.total = "closed", 0, 0
@@ -192,17 +198,21 @@ class Breaker:
 
 def breaker(calls: DataFrame, rate: float, duration: int, probes: int) -> DataFrame:
     """(key, ts_s, id, ok, executed, state, failure_rate, half_open_in) of calls (key, ts_s, id, ok) replayed per key:
-    the state after each call, the failures among the calls it counts, and the seconds until it may probe."""
+    the state after each call, the failures among the calls it counts, and the seconds until it may probe. Where calls
+    have a column reset, a row in which it is true resets the breaker before its call."""
     Breaker(rate, duration, probes)
 
     def step(b: Breaker, row: dict) -> dict:
+        if row.get("reset"):
+            b.reset()
         done = b.call(row["ts_s"], row["ok"])
         wait = max(0, b.duration - (row["ts_s"] - b.opened)) if b.state == "open" else 0
         return {"executed": done, "state": b.state, "failure_rate": b._rate(b.errors, b.total), "half_open_in": wait}
 
     kind = calls.schema["key"].dataType.simpleString()
     schema = f"key {kind}, ts_s bigint, id bigint, ok boolean, executed boolean, state string, failure_rate double, half_open_in bigint"
-    return fold(calls.select("key", "ts_s", "id", "ok"), ["key"], ["ts_s", "id"], schema, lambda: Breaker(rate, duration, probes), step)
+    given = ["key", "ts_s", "id", "ok", *(["reset"] if "reset" in calls.columns else [])]
+    return fold(calls.select(*given), ["key"], ["ts_s", "id"], schema, lambda: Breaker(rate, duration, probes), step)
 
 
 def breaker_metrics(trace: DataFrame) -> DataFrame:
@@ -287,11 +297,10 @@ def least_time(log: DataFrame) -> DataFrame:
     average so far, and the server whose average was ever the lowest, the earliest of equals: it stays
     the choice when it slows."""
     order = ["ts_ms", "id"]
-    own = Window.partitionBy("pool", "server").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    pool = Window.partitionBy("pool").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = log.withColumn("average", F.round(F.sum("elapsed").over(own) / F.count("elapsed").over(own), 5))
-    best = F.min(F.struct("average", "ts_ms", "id", "server")).over(pool)["server"]
-    return x.select("pool", "id", "ts_ms", "server", "average", best.alias("best"))
+    x = running(log, order, ["pool", "server"], {"gm_sum": F.col("elapsed"), "gm_n": F.when(F.col("elapsed").isNotNull(), 1).otherwise(0)})
+    x = x.withColumn("average", F.round(F.col("gm_sum") / F.nullif("gm_n", F.lit(0)), 5))
+    x = running(x, order, ["pool"], least={"gm_best": F.struct("average", "ts_ms", "id", "server")})
+    return x.select("pool", "id", "ts_ms", "server", "average", F.col("gm_best.server").alias("best"))
 
 
 def server_metrics(log: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -308,6 +317,29 @@ def server_metrics(log: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
+def health_report(servers: DataFrame, log: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(server, active_connections, max_connections, requests, success_rate, latency, healthy) of every server, those
+    without a request included: they are as healthy as they say."""
+    m = server_metrics(log, threshold).select(F.col("server").alias("s"), "requests", "success_rate", "latency", F.col("healthy").alias("served"))
+    met = servers.join(m, F.col("server") == F.col("s"), "left")
+    return met.select(
+        "server", "active_connections", "max_connections", F.coalesce("requests", F.lit(0)).alias("requests"), "success_rate", "latency",
+        F.coalesce("served", "healthy").alias("healthy"),
+    )
+
+
+def dispatch(strategy: str, requests: DataFrame, servers: DataFrame, start: int = 0) -> DataFrame:
+    """Requests dealt by the strategy of that name; ValueError for another name. least_connections gives all of a batch to
+    the server that is least busy as it arrives."""
+    if strategy == "round_robin":
+        return round_robin(requests, servers, start)
+    if strategy == "weighted_round_robin":
+        return weighted_round_robin(requests, servers, start)
+    if strategy == "least_connections":
+        return requests.select("id", "ts_ms").join(F.broadcast(least_connections(servers)))
+    raise ValueError(f"unknown strategy {strategy!r}")
+
+
 def traffic(log: DataFrame) -> DataFrame:
     """(server, requests, per_second): requests over the seconds from the first to the last of the server."""
     span = (F.max("ts_ms") - F.min("ts_ms")) / 1000
@@ -384,34 +416,47 @@ def hedged(calls: DataFrame, delay: float) -> DataFrame:
 class History:
     """Undo and redo stacks, the oldest state dropped at capacity."""
 
-    def __init__(self, capacity: int = 128):
+    def __init__(self, capacity: int = 128, edit: Callable | None = None):
         self.undo, self.redo, self.state = deque(maxlen=capacity), deque(maxlen=capacity), None
+        self.edit, self.evicted = edit or (lambda state: state), False
 
-    def apply(self, op: str, state) -> None:
+    def apply(self, op: str, state, n: int | None = None) -> None:
+        """save takes edit(state) as the state and pushes it; replace starts anew from state, unedited; undo_n undoes n
+        times, IndexError beyond what is saved. The first undo after a save that dropped a state leaves the state as it is."""
         if op == "save":
-            self.undo.append(state)
+            self.evicted = len(self.undo) == self.undo.maxlen
+            self.state = self.edit(state)
+            self.undo.append(self.state)
             self.redo.clear()
-            self.state = state
         elif op == "undo" and self.undo:
             self.redo.append(self.undo.pop())
-            if self.undo:
+            if self.undo and not self.evicted:
                 self.state = self.undo[-1]
+            self.evicted = False
+        elif op == "undo_n":
+            if not 0 <= (n or 0) <= len(self.undo):
+                raise IndexError(f"cannot undo {n} of {len(self.undo)} states")
+            for _ in range(n or 0):
+                self.apply("undo", None)
         elif op == "redo" and self.redo:
             self.undo.append(self.redo.pop())
-            self.state = self.undo[-1]
-        elif op == "replace" and self.undo:
-            self.undo[-1] = self.state = state
+            self.state, self.evicted = self.undo[-1], False
+        elif op == "replace":
+            self.undo.clear()
+            self.redo.clear()
+            self.state, self.evicted = state, False
 
 
-def history(commands: DataFrame, capacity: int = 128) -> DataFrame:
-    """(key, seq, op, state_after, n_undo, n_redo) of commands (key, seq, op, state): op save, undo, redo or replace."""
+def history(commands: DataFrame, capacity: int = 128, edit: Callable | None = None) -> DataFrame:
+    """(key, seq, op, state_after, n_undo, n_redo) of commands (key, seq, op, state, and n for undo_n): op save, undo,
+    undo_n, redo or replace. edit: what a state goes through when it is set, but not when it is restored."""
 
     def step(h: History, row: dict) -> dict:
-        h.apply(row["op"], row["state"])
+        h.apply(row["op"], row["state"], row.get("n"))
         return {"state_after": h.state, "n_undo": len(h.undo), "n_redo": len(h.redo)}
 
     kind = commands.schema["key"].dataType.simpleString()
-    return fold(commands, ["key"], ["seq"], f"key {kind}, seq bigint, op string, state_after string, n_undo int, n_redo int", lambda: History(capacity), step)
+    return fold(commands, ["key"], ["seq"], f"key {kind}, seq bigint, op string, state_after string, n_undo int, n_redo int", lambda: History(capacity, edit), step)
 
 
 def retained(versions: DataFrame, capacity: int = 128) -> DataFrame:
@@ -421,8 +466,10 @@ def retained(versions: DataFrame, capacity: int = 128) -> DataFrame:
 
 
 def topic_fifo(events: DataFrame) -> DataFrame:
-    """events (seq, name, action) with turn, the place in the queue of their name, from 1."""
-    return events.withColumn("turn", F.row_number().over(Window.partitionBy("name").orderBy("seq")))
+    """events (seq, name, action) with turn, the place in the queue of their name, and place, that in the queue of all, from 1."""
+    named = positions(events, ["seq"], ["name"], "gm_turn")
+    every = positions(named, ["seq"], name="gm_place")
+    return every.select(*events.columns, (F.col("gm_turn") + 1).cast("int").alias("turn"), (F.col("gm_place") + 1).alias("place"))
 
 
 def idempotent_first(calls: DataFrame) -> DataFrame:

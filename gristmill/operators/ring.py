@@ -9,8 +9,6 @@ from gristmill.functions.hashing import sha_int
 from gristmill.plans.ranking import small
 
 SPACE = 1 << 32
-#: Largest ring that is handled as one array.
-MAX_NODES = 100_000
 
 
 def _indexed(nodes: DataFrame) -> DataFrame:
@@ -20,8 +18,8 @@ def _indexed(nodes: DataFrame) -> DataFrame:
 
 def build(spark: SparkSession, servers: int, vnodes: int, seed: int = 0) -> DataFrame:
     """A ring of hashed positions. ValueError without servers or virtual nodes."""
-    if servers < 1 or vnodes < 1 or servers * vnodes > MAX_NODES:
-        raise ValueError("servers and vnodes must be positive, and their product bounded")
+    if servers < 1 or vnodes < 1:
+        raise ValueError("servers and vnodes must be positive")
     pos = F.conv(F.right(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256), F.lit(8)), 16, 10).cast("bigint")
     return _indexed(spark.range(servers * vnodes).select(pos.alias("pos"), F.expr(f"id div {vnodes}").alias("server")))
 
@@ -42,19 +40,37 @@ def assign(ring: DataFrame, keys: DataFrame, key: str, mode: str = "index") -> D
     if mode not in ("index", "clockwise"):
         raise ValueError("mode must be index or clockwise")
     n = ring.count()
-    if not 0 < n <= MAX_NODES:
-        raise ValueError("the ring must have nodes, and a bounded number of them")
+    if not n:
+        raise ValueError("the ring must have nodes")
     h = key_hash(F.col(key))
     if mode == "index":
         at = F.pmod(h, F.lit(n))
     else:
-        held = ring.orderBy("ring_idx").select("pos").collect()  # at most MAX_NODES
-        starts = F.array(*[F.lit(r["pos"]) for r in held])
-        at = F.pmod(F.size(F.filter(starts, lambda p: p < h)), F.lit(n))
+        return _clockwise(ring, keys, h)
     nodes = small(ring.select(F.col("ring_idx").alias("gm_node"), "server"))
     return keys.withColumn("gm_at", at.cast("int")).join(nodes, F.col("gm_at") == F.col("gm_node")).drop("gm_at", "gm_node")
 
 
+#: Parts of the ring's space within which a key looks for the next node.
+PARTS = 4096
+
+
+def _clockwise(ring: DataFrame, keys: DataFrame, h: Column) -> DataFrame:
+    """Keys meet the nodes of their part of the space, and the first node after it, by an equi-join on the part."""
+    width = SPACE // PARTS
+    nodes = ring.select("pos", "server", F.expr(f"cast(pos div {width} as int)").alias("gm_p"))
+    held = nodes.groupBy("gm_p").agg(F.array_sort(F.collect_list(F.struct("pos", "server"))).alias("gm_own"))
+    every = ring.sparkSession.range(PARTS).select(F.col("id").cast("int").alias("gm_part")).join(held, F.col("gm_part") == F.col("gm_p"), "left")
+    back = Window.orderBy(F.desc("gm_part")).rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    first = F.get("gm_own", F.lit(0))
+    after = F.coalesce(F.last(first, True).over(back), F.min(first).over(Window.partitionBy(F.lit(0))))
+    parts = every.select("gm_part", F.concat(F.coalesce("gm_own", F.array().cast("array<struct<pos:bigint,server:int>>")), F.array(after.cast("struct<pos:bigint,server:int>"))).alias("gm_nodes"))
+    met = keys.withColumn("gm_h", h).withColumn("gm_at", F.expr(f"cast(gm_h div {width} as int)")).join(small(parts), F.col("gm_at") == F.col("gm_part"))
+    hit = F.filter(F.slice("gm_nodes", 1, F.size("gm_nodes") - 1), lambda n: n["pos"] >= F.col("gm_h"))
+    found = F.coalesce(F.get(hit, F.lit(0)), F.element_at("gm_nodes", -1))
+    return met.select(*[F.col(f"`{c}`") for c in keys.columns], found["server"].alias("server"))
+
+
 def arcs(ring: DataFrame) -> DataFrame:
     """(ring_idx, pos, server, arc): the space from each node to the next, around the end; 0 for a ring of one."""
     w = Window.orderBy("ring_idx")
@@ -78,7 +94,7 @@ def biggest_gap(ring: DataFrame) -> DataFrame:
 
 def add_node(ring: DataFrame, server: int) -> DataFrame:
     """The ring with a node of the server in the middle of its biggest gap."""
-    rows = [(r["pos"], r["server"], r["arc"]) for r in arcs(ring).orderBy("ring_idx").collect()]  # at most MAX_NODES
+    rows = [(r["pos"], r["server"], r["arc"]) for r in arcs(ring).orderBy("ring_idx").collect()]  # servers times virtual nodes
     pos, _, arc = max(rows, key=lambda r: r[2])
     arc = arc or SPACE
     return from_rows(ring.sparkSession, [(p, s) for p, s, _ in rows] + [((pos + arc // 2) % SPACE, server)])
@@ -92,7 +108,7 @@ def add_server(ring: DataFrame, server: int, vnodes: int) -> DataFrame:
 
 def remove_server(ring: DataFrame, server: int) -> DataFrame:
     """The server's nodes go to the next owner on the ring that is another server. ValueError if there is none."""
-    rows = [(r["pos"], r["server"]) for r in ring.orderBy("ring_idx").collect()]  # at most MAX_NODES
+    rows = [(r["pos"], r["server"]) for r in ring.orderBy("ring_idx").collect()]  # servers times virtual nodes
     n = len(rows)
     if all(s == server for _, s in rows):
         raise ValueError("the last server cannot go")

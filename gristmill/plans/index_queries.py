@@ -97,12 +97,12 @@ def longest_prefix(spark, d):
 
 
 def inverted_index(spark, d):
-    return ordered.postings(table(spark, d, "benchmark"), "item_id", "text")
+    return ordered.postings(table(spark, d, "documents"), "doc_id", "text")
 
 
 def index_search(spark, d):
-    bench = table(spark, d, "benchmark")
-    found = ordered.tf_idf(ordered.postings(bench, "item_id", "text"), bench.count(), ["eres", "inin", "haha", "thth"])
+    docs = table(spark, d, "documents")
+    found = ordered.tf_idf(ordered.postings(docs, "doc_id", "text"), docs.count(), ["eres", "inin", "haha", "thth"])
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -220,7 +220,7 @@ _KEY = "('0x' || right(sha256(c_custkey::VARCHAR), 8))::BIGINT"
 
 
 def _supplies(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("s"), "l_suppkey").alias("u"), F.concat(F.lit("p"), "l_partkey").alias("v"))
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("u"), F.concat(F.lit("p"), "l_partkey").alias("v"))
     return graph.from_edges(e)
 
 
@@ -256,7 +256,7 @@ def graph_edge_exists(spark, d):
     return graph.edge_exists(_supplies(spark, d), "s1", "p2")
 
 
-_EDGES = """e AS (SELECT DISTINCT 's' || l_suppkey AS u, 'p' || l_partkey AS v FROM lineitem WHERE l_quantity >= 49),
+_EDGES = """e AS (SELECT DISTINCT 's' || l_suppkey AS u, 'p' || l_partkey AS v FROM lineitem),
 g AS (SELECT u, v FROM e UNION SELECT v, u FROM e)"""
 _HOPS = f"""WITH RECURSIVE {_EDGES}, reach(v, hops) USING KEY (v) AS (SELECT 's1', 0::BIGINT UNION
 SELECT g.v, min(reach.hops) + 1 FROM reach JOIN g ON reach.v = g.u WHERE NOT EXISTS (FROM recurring.reach r WHERE r.v = g.v) GROUP BY g.v)"""
@@ -267,7 +267,7 @@ CAP, DEPTH = 20, 5
 
 
 def _points(spark, d):
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(
+    return table(spark, d, "lineitem").select(
         "l_orderkey", F.col("l_quantity").alias("x"), (F.round(F.col("l_discount") * 100) * 6).alias("y")
     )
 
@@ -287,7 +287,7 @@ def quadtree_delete(spark, d):
 
 
 def _quad(where: str = "") -> str:
-    p = f"p0 AS (SELECT l_orderkey, l_quantity AS x, round(l_discount * 100) * 6 AS y FROM lineitem WHERE l_linenumber = 1), pts AS (SELECT * FROM p0 WHERE x >= 0 AND y >= 0 AND x < 64 AND y < 64 {where})"
+    p = f"p0 AS (SELECT l_orderkey, l_quantity AS x, round(l_discount * 100) * 6 AS y FROM lineitem), pts AS (SELECT * FROM p0 WHERE x >= 0 AND y >= 0 AND x < 64 AND y < 64 {where})"
     parts, out = [p], []
     for k in range(DEPTH + 1):
         source = "pts" if k == 0 else f"m{k - 1} WHERE n > {CAP}"
@@ -309,7 +309,7 @@ def _atoms(spark, d):
     return c.select(
         F.col("conv_id").alias("doc"),
         F.concat(F.lit("t"), "turn").alias("id"),
-        F.concat(F.lit("["), F.left("text", F.lit(5)), F.lit("]")).alias("value"),
+        F.concat(F.lit("["), "text", F.lit("]")).alias("value"),
         F.when(F.col("turn") == 0, "ROOT").otherwise(F.concat(F.lit("t"), F.expr("(turn - 1) div 2"))).alias("predecessor_id"),
         ((F.col("conv_id") % 2 == 1) & (F.col("turn") == 2)).alias("tombstone"),
         (F.lit(1000).cast("bigint") + F.col("turn") % 3).alias("timestamp"),
@@ -324,6 +324,13 @@ def crdt_merge(spark, d):
     return crdt.merge(a, late).select("doc", "id", "tombstone")
 
 
+def crdt_insert(spark, d):
+    """A new atom after the first of every document."""
+    a = _atoms(spark, d)
+    new = a.where("sequence = 0").withColumns({"id": F.lit("new"), "predecessor_id": F.col("id"), "sequence": F.lit(-1)})
+    return crdt.insert(a, new).select("doc", "id", "predecessor_id", "tombstone")
+
+
 def crdt_visible(spark, d):
     return crdt.visible(_atoms(spark, d)).select("doc", "id", "pos")
 
@@ -332,7 +339,7 @@ def crdt_converge(spark, d):
     return crdt.converge(_atoms(spark, d)).select("doc", "text")
 
 
-_ATOMS = """a AS (SELECT conv_id AS doc, 't' || turn AS id, '[' || left(text, 5) || ']' AS value,
+_ATOMS = """a AS (SELECT conv_id AS doc, 't' || turn AS id, '[' || text || ']' AS value,
   CASE WHEN turn = 0 THEN 'ROOT' ELSE 't' || ((turn - 1) // 2) END AS parent, conv_id % 2 = 1 AND turn = 2 AS gone,
   1000 + turn % 3 AS ts, turn::INT AS seq FROM conversations),
 w(doc, id, value, gone, path) AS (SELECT doc, id, value, gone, [(-ts, -seq, id)] FROM a WHERE parent = 'ROOT'
@@ -347,12 +354,12 @@ QUERIES = {
         merkle_append, merkle_diff, merkle_first_difference, merkle_equals, merkle_diff_leaves, ring_nodes, ring_assign, ring_clockwise,
         ring_store_sizes, ring_capacity, ring_node_capacity, ring_biggest_gap, ring_add_server, ring_remove_server, graph_degree, bfs_hops,
         shortest_path, has_path, graph_edit, graph_neighbours, graph_vertices, graph_edge_exists, quadtree_leaves, quadtree_query,
-        quadtree_delete, crdt_merge, crdt_visible, crdt_converge,
+        quadtree_delete, crdt_merge, crdt_insert, crdt_visible, crdt_converge,
     )
 }
 
 _STOP = ", ".join(f"'{w}'" for w in ordered.STOP_WORDS)
-_POSTINGS = f"t AS (SELECT item_id AS doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark), post AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term <> '' AND term NOT IN ({_STOP}) GROUP BY ALL)"
+_POSTINGS = f"t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM documents), post AS (SELECT term, doc_id, count(*) AS tf FROM t WHERE term <> '' AND term NOT IN ({_STOP}) GROUP BY ALL)"
 
 ORACLE = {
     "ordered_ceiling": "SELECT DISTINCT o_orderkey AS key FROM orders WHERE o_orderkey >= 1200",
@@ -374,7 +381,7 @@ ORACLE = {
     "longest_prefix": """WITH k AS (SELECT left(url, 14) AS key FROM pages UNION SELECT left(url, 22) FROM pages), t AS (SELECT DISTINCT url AS text FROM pages)
 SELECT text, coalesce(max_by(key, length(key)), '') AS prefix FROM t LEFT JOIN k ON starts_with(text, key) GROUP BY text""",
     "inverted_index": f"WITH {_POSTINGS} SELECT * FROM post",
-    "index_search": f"WITH {_POSTINGS}, q AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ('eres', 'inin', 'haha', 'thth')) SELECT doc_id, round(sum(tf * ln((SELECT count(*) FROM benchmark)::DOUBLE / df)), 6) AS score FROM q GROUP BY 1",
+    "index_search": f"WITH {_POSTINGS}, q AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post WHERE term IN ('eres', 'inin', 'haha', 'thth')) SELECT doc_id, round(sum(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df)), 6) AS score FROM q GROUP BY 1",
     "merkle_levels": "WITH " + _tree("t", "n_name") + " SELECT * FROM t",
     "merkle_root": "WITH " + _tree("t", "n_name") + " SELECT hash FROM t WHERE level = 0",
     "merkle_widths": "WITH " + _tree("t", "n_name") + " SELECT level, count(*) AS width FROM t GROUP BY 1",
@@ -409,6 +416,7 @@ SELECT ring_idx, pos, (SELECT min_by(t.server, t.ring_idx) FROM twice t WHERE t.
     "quadtree_delete": "WITH " + _quad("AND NOT (x = 10 AND y = 18)") + " SELECT depth, cx, cy, count(*) AS n FROM lv GROUP BY ALL",
     "quadtree_query": "WITH " + _quad() + f", asked AS (SELECT max(depth) AS depth FROM lv WHERE cx = floor(20.0 / (64.0 / (1 << depth))) AND cy = floor(12.0 / (64.0 / (1 << depth)))) SELECT l_orderkey FROM lv WHERE cx = floor(20.0 / (64.0 / (1 << depth))) AND cy = floor(12.0 / (64.0 / (1 << depth)))",
     "crdt_merge": "SELECT conv_id AS doc, 't' || turn AS id, bool_or((conv_id % 2 = 1 AND turn = 2) OR (conv_id % 5 = 0 AND turn = 1)) AS tombstone FROM conversations GROUP BY ALL",
+    "crdt_insert": f"WITH RECURSIVE {_ATOMS} SELECT doc, id, parent AS predecessor_id, gone AS tombstone FROM a UNION ALL SELECT doc, 'new', 't0', gone FROM a WHERE id = 't0'",
     "crdt_converge": f"WITH RECURSIVE {_ATOMS} SELECT doc, coalesce(string_agg(value, '' ORDER BY path) FILTER (NOT gone), '') AS text FROM w GROUP BY doc",
     "crdt_visible": f"WITH RECURSIVE {_ATOMS}, n AS (SELECT doc, id, gone, row_number() OVER (PARTITION BY doc ORDER BY path) - 1 AS pos FROM w) SELECT doc, id, pos FROM n WHERE NOT gone",
 }

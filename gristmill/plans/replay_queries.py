@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.operators import elections, pixels, replay
-from gristmill.sources.tables import table
+from gristmill.sources.tables import servers_from_config, table
 
 MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 BLACK = [7, 11]
@@ -96,7 +96,7 @@ def breaker_fallback(spark, d):
 _OPENS = f"b.state = 'closed' AND b.total > 0 AND round_even(b.err::DOUBLE / b.total, 4) >= {RATE}"
 _WAITS = f"b.state = 'open' AND c.ts_s - b.opened < {DURATION}"
 _DECIDES = f"b.state = 'half_open' AND b.pt >= {PROBES}"
-_BAD = f"round_even(b.pe::DOUBLE / b.pt, 4) > {RATE}"
+_BAD = f"b.pe::DOUBLE / b.pt > {RATE}"
 _STATE = f"""CASE WHEN {_OPENS} THEN 'open' WHEN {_WAITS} THEN 'open' WHEN b.state = 'open' THEN 'half_open'
  WHEN {_DECIDES} THEN CASE WHEN {_BAD} THEN 'open' ELSE 'closed' END ELSE b.state END"""
 _RUNS = f"NOT (({_OPENS}) OR ({_WAITS}) OR ({_DECIDES} AND {_BAD}))"
@@ -116,7 +116,7 @@ b(key, k, id, ts_s, ok, value, state, err, total, pe, pt, opened, executed) AS (
 
 
 def _servers(spark, d):
-    return table(spark, d, "supplier").where("s_suppkey <= 10").select(
+    return table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("ord"), F.col("s_name").alias("server"), (F.col("s_suppkey") % 5 != 0).alias("healthy"),
         (F.col("s_suppkey") % 4).cast("int").alias("active_connections"), F.when(F.col("s_suppkey") == 3, 3).otherwise(100).alias("max_connections"),
         (F.col("s_suppkey") % 3 + 2).cast("int").alias("weight"),
@@ -157,6 +157,57 @@ def assign_least_time(spark, d):
     return replay.least_time(_log(spark, d)).select("pool", "id", "average", "best")
 
 
+def server_health(spark, d):
+    servers = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("server"), (F.col("s_suppkey") % 4).cast("int").alias("active_connections"), F.lit(100).alias("max_connections"),
+        (F.col("s_suppkey") % 5 != 0).alias("healthy"),
+    )
+    return replay.health_report(servers, _log(spark, d)).select("server", "active_connections", "requests", "success_rate", "healthy")
+
+
+def dispatch_by_name(spark, d):
+    return replay.dispatch("least_connections", _requests(spark, d), _servers(spark, d))
+
+
+def next_in_turn(spark, d):
+    """The turn after each supplier's, of all of them."""
+    n = table(spark, d, "supplier").count()
+    return spark.createDataFrame([(i, replay.next_in_turn(i, n)) for i in range(n)], "turn long, next long")
+
+
+def configured_servers(spark, d):
+    config = {"strategy": "least_time", "servers": [{"name": "a", "url": "http://a", "weight": 3}, {"name": "b", "url": "http://b", "healthy": False, "max_connections": 7}]}
+    return servers_from_config(spark, config).select("name", "url", "active_connections", "healthy", "weight", "max_connections", "metadata.total_requests")
+
+
+def _tried(spark, calls):
+    """(rule, arguments, ok): whether a constructor takes its arguments."""
+
+    def ok(f, args):
+        try:
+            f(*args)
+        except (ValueError, AssertionError):
+            return False
+        return True
+
+    return spark.createDataFrame([(name, str(args), ok(f, args)) for name, f, *args in calls], "rule string, arguments string, ok boolean")
+
+
+def validated_limits(spark, d):
+    rows = [("second", 1, 1), ("year", 1, 1), ("hour", 0, 1), ("hour", 1, 0), ("day", 3, 10**7), ("day", 3, 10**7 + 1)]
+    return _tried(spark, [("limit", replay._limit, *r) for r in rows])
+
+
+def validated_breakers(spark, d):
+    rows = [(0.5, 1, 1), (0.0, 1, 1), (1.0, 1, 1), (1.1, 1, 1), (0.5, 0, 1), (0.5, 1, 0)]
+    return _tried(spark, [("breaker", replay.Breaker, *r) for r in rows])
+
+
+def validated_thresholds(spark, d):
+    one = spark.createDataFrame([(0, 0, 0, 1, 2, 3)], "image_id int, y int, x int, r int, g int, b int")
+    return _tried(spark, [("threshold", lambda t: pixels.threshold(one, t), t) for t in (-1, 0, 255, 256, True, 1.5)])
+
+
 def server_metrics(spark, d):
     return replay.server_metrics(_log(spark, d))
 
@@ -166,7 +217,7 @@ def server_traffic(spark, d):
 
 
 _SERVERS = """sv AS (SELECT s_suppkey AS ord, s_name AS server, (s_suppkey % 4)::INT AS active, (s_suppkey % 3 + 2)::INT AS weight FROM supplier
- WHERE s_suppkey <= 10 AND s_suppkey % 5 <> 0 AND s_suppkey % 4 < CASE WHEN s_suppkey = 3 THEN 3 ELSE 100 END)"""
+ WHERE s_suppkey % 5 <> 0 AND s_suppkey % 4 < CASE WHEN s_suppkey = 3 THEN 3 ELSE 100 END)"""
 _TURNS = "q AS (SELECT event_id AS id, (epoch_us(ts) // 1000) AS ts_ms, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events)"
 _LOG = "l AS (SELECT event_type AS pool, event_id AS id, (epoch_us(ts) // 1000) AS ts_ms, user_id % 10 AS server, floor(value)::BIGINT AS elapsed, event_type <> 'error' AS ok FROM events)"
 
@@ -243,7 +294,7 @@ def version_retention(spark, d):
 
 def topic_fifo(spark, d):
     x = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("name"), F.col("props").alias("action"))
-    return replay.topic_fifo(x).select("seq", "name", "turn")
+    return replay.topic_fifo(x).select("seq", "name", "turn", "place")
 
 
 def idempotent_first(spark, d):
@@ -333,13 +384,13 @@ def compactness(spark, d):
 
 
 def _pixels(spark, d):
-    """An image 7 pixels high for each of 100 order keys; channels from the line's numbers."""
-    x = table(spark, d, "lineitem").where("l_orderkey <= 200").groupBy((F.col("l_orderkey") % 100).alias("image_id"), (F.col("l_linenumber") - 1).alias("y"), (F.col("l_orderkey") % 3).cast("int").alias("x"))
+    """1,000 images of all lines: a row of pixels for each line number, a column for each thousand orders; channels from the line's numbers."""
+    x = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("image_id"), (F.col("l_linenumber") - 1).alias("y"), F.expr("cast(l_orderkey div 1000 as int)").alias("x"))
     return x.agg(*[F.max(e).cast("int").alias(c) for c, e in (("r", F.col("l_partkey") % 256), ("g", F.col("l_suppkey") * 7 % 256), ("b", F.col("l_orderkey") * 31 % 256))])
 
 
-_PX = """px AS (SELECT l_orderkey % 100 AS image_id, l_linenumber - 1 AS y, (l_orderkey % 3)::INT AS x, max(l_partkey % 256)::INT AS r,
- max(l_suppkey * 7 % 256)::INT AS g, max(l_orderkey * 31 % 256)::INT AS b FROM lineitem WHERE l_orderkey <= 200 GROUP BY ALL)"""
+_PX = """px AS (SELECT l_orderkey % 1000 AS image_id, l_linenumber - 1 AS y, (l_orderkey // 1000)::INT AS x, max(l_partkey % 256)::INT AS r,
+ max(l_suppkey * 7 % 256)::INT AS g, max(l_orderkey * 31 % 256)::INT AS b FROM lineitem GROUP BY ALL)"""
 
 
 def _px_sql(f: str) -> str:
@@ -408,7 +459,7 @@ QUERIES = {
     for f in (
         fixed_window_decisions, fixed_window_reset, limiter_metrics, bad_actors, sliding_window_decisions, sliding_metrics, breaker_trace,
         breaker_metrics, breaker_fallback, assign_round_robin, assign_weighted, assign_least_conn, replay_least_conn, assign_least_time,
-        server_metrics, server_traffic, queue_order, queue_next, queue_failed, latest_results, last_result, retry_schedule, retry_log, timeout_log,
+        server_metrics, server_health, dispatch_by_name, next_in_turn, configured_servers, validated_limits, validated_breakers, validated_thresholds, server_traffic, queue_order, queue_next, queue_failed, latest_results, last_result, retry_schedule, retry_log, timeout_log,
         hedge_log, undo_redo, version_retention, topic_fifo, idempotent_first, http_keys, plurality, approval, approval_running, borda, borda_points,
         condorcet_pairs, condorcet, ranked_choice, compactness, threshold_simple, threshold_inverted, threshold_truncate, threshold_to_zero,
         nn_upscale, flip_vertical, flip_horizontal, rotate, rgb_to_hsv, _grey("mean"), _grey("luminosity"), _grey("lightness"), _grey("maximum"),
@@ -452,15 +503,16 @@ SELECT job, count(*) AS attempts, bool_or(ok) AS ok FROM y WHERE NOT stopped GRO
  CASE WHEN t1 > 20 AND t2 + 20 < t1 THEN 2 ELSE 1 END AS winner, CASE WHEN t1 > 20 THEN 2 ELSE 1 END AS sent FROM x""",
     "undo_redo": """WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'view' THEN 'redo' ELSE 'save' END AS op, 's' || event_id AS state,
  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-h(key, k, seq, op, u, r, s) AS (SELECT key, 0::BIGINT, 0::BIGINT, '', []::VARCHAR[], []::VARCHAR[], NULL::VARCHAR FROM c WHERE k = 1 UNION ALL
+h(key, k, seq, op, u, r, s, p) AS (SELECT key, 0::BIGINT, 0::BIGINT, '', []::VARCHAR[], []::VARCHAR[], NULL::VARCHAR, false FROM c WHERE k = 1 UNION ALL
 SELECT c.key, c.k, c.seq, c.op,
  CASE c.op WHEN 'save' THEN list_append(h.u, c.state)[-4:] WHEN 'undo' THEN h.u[:-2] ELSE CASE WHEN len(h.r) > 0 THEN list_append(h.u, h.r[-1])[-4:] ELSE h.u END END,
  CASE c.op WHEN 'save' THEN []::VARCHAR[] WHEN 'undo' THEN CASE WHEN len(h.u) > 0 THEN list_append(h.r, h.u[-1])[-4:] ELSE h.r END ELSE h.r[:-2] END,
- CASE c.op WHEN 'save' THEN c.state WHEN 'undo' THEN CASE WHEN len(h.u) > 1 THEN h.u[-2] ELSE h.s END ELSE CASE WHEN len(h.r) > 0 THEN h.r[-1] ELSE h.s END END
+ CASE c.op WHEN 'save' THEN c.state WHEN 'undo' THEN CASE WHEN len(h.u) > 1 AND NOT h.p THEN h.u[-2] ELSE h.s END ELSE CASE WHEN len(h.r) > 0 THEN h.r[-1] ELSE h.s END END,
+ CASE c.op WHEN 'save' THEN len(h.u) >= 4 WHEN 'undo' THEN len(h.u) = 0 AND h.p ELSE len(h.r) = 0 AND h.p END
 FROM h JOIN c ON c.key = h.key AND c.k = h.k + 1)
 SELECT key, seq, op, s AS state_after, len(u)::INT AS n_undo, len(r)::INT AS n_redo FROM h WHERE k > 0""",
     "version_retention": "SELECT user_id AS key, event_id AS seq FROM events WHERE event_type NOT IN ('error', 'view') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
-    "topic_fifo": "SELECT event_id AS seq, event_type AS name, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS turn FROM events",
+    "topic_fifo": "SELECT event_id AS seq, event_type AS name, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS turn, row_number() OVER (ORDER BY event_id) AS place FROM events",
     "idempotent_first": "SELECT user_id * 10 + event_id % 10 AS key, min((epoch_us(ts) // 1000)) AS ts, arg_min(event_type, (ts, event_id)) AS result FROM events GROUP BY 1",
     "http_keys": "SELECT page_id, sha256('GET|' || url || '||me') AS key FROM pages",
     "plurality": f"WITH {_BALLOTS} SELECT c AS winner, count(*) AS votes FROM v WHERE pos = 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1",
@@ -490,4 +542,24 @@ SELECT image_id, y, x, round(CASE WHEN d = 0 THEN 0 WHEN hi = r THEN ((((g - b)
     "gamma": _px_sql("round(pow($ / 255.0::DOUBLE, 2) * 255)"),
     "pixel_histogram": f"WITH {_PX}, u AS (SELECT image_id, 'r' AS channel, r AS level FROM px UNION ALL SELECT image_id, 'g', g FROM px UNION ALL SELECT image_id, 'b', b FROM px) SELECT *, count(*) AS n FROM u GROUP BY ALL",
 }
+ORACLE |= {
+    "server_health": f"""WITH {_LOG}, m AS (SELECT server, count(*) AS requests, round_even(count(*) FILTER (ok) / count(*), 5) AS success_rate, count(*) FILTER (ok) / count(*) > 0.5 AS served FROM l GROUP BY 1)
+SELECT s_suppkey AS server, (s_suppkey % 4)::INT AS active_connections, coalesce(requests, 0) AS requests, success_rate, coalesce(served, s_suppkey % 5 <> 0) AS healthy FROM supplier LEFT JOIN m ON m.server = s_suppkey""",
+    "dispatch_by_name": f"WITH {_SERVERS}, {_TURNS} SELECT id, ts_ms, (SELECT server FROM sv ORDER BY active, ord LIMIT 1) AS server FROM q",
+    "next_in_turn": "SELECT range AS turn, (range + 1) % (SELECT count(*) FROM supplier) AS next FROM range((SELECT count(*) FROM supplier))",
+    "configured_servers": "SELECT * FROM (VALUES ('a', 'http://a', 0, true, 3, 100, 0), ('b', 'http://b', 0, false, 1, 7, 0)) t(name, url, active_connections, healthy, weight, max_connections, total_requests)",
+    "validated_limits": """SELECT 'limit' AS rule, a AS arguments, ok FROM (VALUES ('[''second'', 1, 1]', true), ('[''year'', 1, 1]', false), ('[''hour'', 0, 1]', false), ('[''hour'', 1, 0]', false),
+ ('[''day'', 3, 10000000]', true), ('[''day'', 3, 10000001]', false)) t(a, ok)""",
+    "validated_breakers": """SELECT 'breaker' AS rule, a AS arguments, ok FROM (VALUES ('[0.5, 1, 1]', true), ('[0.0, 1, 1]', false), ('[1.0, 1, 1]', true), ('[1.1, 1, 1]', false), ('[0.5, 0, 1]', false), ('[0.5, 1, 0]', false)) t(a, ok)""",
+    "validated_thresholds": """SELECT 'threshold' AS rule, a AS arguments, ok FROM (VALUES ('[-1]', false), ('[0]', true), ('[255]', true), ('[256]', false), ('[True]', false), ('[1.5]', false)) t(a, ok)""",
+    "replay_least_conn": """WITH RECURSIVE r AS (SELECT event_type AS pool, event_id AS id, epoch_us(ts) // 1000 AS ts_ms, (floor(value) * 60000)::BIGINT AS hold_ms,
+  row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+s(pool, k, id, ts_ms, hold_ms, a, b, c, server) AS (SELECT pool, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::BIGINT[], []::BIGINT[], NULL::VARCHAR FROM r WHERE k = 1 UNION ALL
+SELECT pool, k, id, ts_ms, hold_ms, CASE WHEN pick = 'a' THEN list_append(a, ts_ms + hold_ms) ELSE a END, CASE WHEN pick = 'b' THEN list_append(b, ts_ms + hold_ms) ELSE b END,
+ CASE WHEN pick = 'c' THEN list_append(c, ts_ms + hold_ms) ELSE c END, pick FROM (SELECT *, CASE WHEN len(a) < 4 AND (len(b) >= 4 OR len(a) <= len(b)) AND (len(c) >= 2 OR len(a) <= len(c)) THEN 'a'
+  WHEN len(b) < 4 AND (len(c) >= 2 OR len(b) <= len(c)) THEN 'b' WHEN len(c) < 2 THEN 'c' END AS pick
+ FROM (SELECT r.pool, r.k, r.id, r.ts_ms, r.hold_ms, list_filter(s.a, lambda x: x > r.ts_ms) AS a, list_filter(s.b, lambda x: x > r.ts_ms) AS b, list_filter(s.c, lambda x: x > r.ts_ms) AS c
+  FROM s JOIN r ON r.pool = s.pool AND r.k = s.k + 1)))
+SELECT pool, id, ts_ms, hold_ms, server FROM s WHERE k > 0""",
+}
 ORACLE["condorcet"] = f"WITH g AS ({ORACLE['condorcet_pairs']}) SELECT (SELECT a FROM g GROUP BY a HAVING bool_and(wins) ORDER BY list_position({TYPES}, a) LIMIT 1) AS winner"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.operators import distinct, membership, quantiles
-from gristmill.sources.tables import table
+from gristmill.plans.ranking import small
+from gristmill.sources.tables import bits_from_bytes, table
 
 B = 10
 ALPHA = distinct.alpha(B)
@@ -89,8 +90,22 @@ def rank_at(spark, d):
 
 
 def digest_quantiles(spark, d):
-    dig = quantiles.digest(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"])
-    return dig.select("l_returnflag", "total", "least", "most", *[quantiles.digest_quantile(q).alias(f"p{int(q * 100)}") for q in (0.05, 0.5, 0.95)])
+    """Weight and ends of each group's digest, and whether the share of values up to each of its quantiles is within 0.01."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    dig = quantiles.digest(rows, "l_extendedprice", ["l_returnflag"])
+    at = {f"p{int(q * 100)}": q for q in (0.05, 0.5, 0.95)}
+    dig = dig.select(F.col("l_returnflag").alias("flag"), "total", "least", "most", *[quantiles.digest_quantile(q).alias(c) for c, q in at.items()])
+    met = rows.join(small(dig), F.col("l_returnflag") == F.col("flag")).groupBy("l_returnflag", "total", "least", "most")
+    share = lambda c: F.avg((F.col("l_extendedprice") <= F.col(c)).cast("double"))
+    return met.agg(*[(F.abs(share(c) - q) <= 0.01).alias(f"{c}_ok") for c, q in at.items()])
+
+
+def hll_error(spark, d):
+    return spark.createDataFrame([(b, round(distinct.relative_error(b), 12)) for b in (4, 10, 14)], "b long, error double")
+
+
+def bitmap_from_bytes(spark, d):
+    return bits_from_bytes(spark, bytes([0b10110001, 0b10000000]), 4)
 
 
 N_FILTER, P_FILTER = 2000, 0.01
@@ -147,7 +162,7 @@ USED_B = 12
 
 
 def _supp(spark, d, flag):
-    return membership.bits_of(table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).where("l_quantity > 45"), "l_suppkey", USED_B)
+    return membership.bits_of(table(spark, d, "lineitem").where(F.col("l_returnflag") == flag), "l_suppkey", USED_B)
 
 
 def bitmap_union(spark, d):
@@ -197,8 +212,8 @@ def bitmap_equals(spark, d):
     return membership.equals(_supp(spark, d, "A"), _supp(spark, d, "R"))
 
 
-_A = "a AS (SELECT DISTINCT l_suppkey AS idx FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45)"
-_R = "r AS (SELECT DISTINCT l_suppkey AS idx FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)"
+_A = "a AS (SELECT DISTINCT l_suppkey AS idx FROM lineitem WHERE l_returnflag = 'A')"
+_R = "r AS (SELECT DISTINCT l_suppkey AS idx FROM lineitem WHERE l_returnflag = 'R')"
 
 QUERIES = {
     f.__name__: f
@@ -206,7 +221,7 @@ QUERIES = {
         hll_registers, hll_estimate, hll_estimate_parts, hll_union, hll_typed_items, hll_recip, hll_native, digest_summary, quantile_hazen,
         cdf_at, rank_at, digest_quantiles, bloom_plan, bloom_bits, bloom_count, bloom_probe, bloom_fpr, bloom_union, bloom_intersect,
         bitmap_union, bitmap_intersect, bitmap_xor, bitmap_complement, bitmap_delete, bitmap_contains, bitmap_range, bitmap_cardinality,
-        bitmap_packed, bitmap_equals,
+        bitmap_packed, bitmap_equals, bitmap_from_bytes, hll_error,
     )
 }
 
@@ -240,6 +255,9 @@ round(avg(x), 6) AS mean, {", ".join(f"round({_hazen(q)}, 6) AS {n}" for n, q in
     "bitmap_range": f"WITH {_A} SELECT idx FROM (SELECT idx FROM a UNION SELECT range FROM range(2, 300)) WHERE idx < 10 OR idx >= 20",
     "bitmap_cardinality": "SELECT count(DISTINCT l_orderkey) AS n FROM lineitem",
     "bitmap_packed": "SELECT o_custkey // 32768 + 1 AS bucket, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1",
+    "bitmap_from_bytes": "SELECT unnest([0, 4, 5, 7, 15])::BIGINT AS idx",
+    "hll_error": "SELECT b::BIGINT AS b, round(1.04::DOUBLE / sqrt((1 << b)::DOUBLE), 12) AS error FROM (VALUES (4), (10), (14)) t(b)",
+    "digest_quantiles": "SELECT l_returnflag, count(*)::DOUBLE AS total, min(l_extendedprice) AS least, max(l_extendedprice) AS most, true AS p5_ok, true AS p50_ok, true AS p95_ok FROM lineitem GROUP BY 1",
     "bitmap_equals": f"WITH {_A}, {_R} SELECT NOT EXISTS ((SELECT idx FROM a EXCEPT SELECT idx FROM r) UNION ALL (SELECT idx FROM r EXCEPT SELECT idx FROM a)) AS equal",
 }
 

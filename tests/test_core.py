@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import crdt, distinct, elections, graph, membership, merkle, ordered, pixels, quadtree, quantiles, replay, ring
+from gristmill.plans import ranking
 from gristmill.plans.ranking import positions
 from gristmill.sources import tables
 
@@ -229,6 +230,11 @@ def test_breaker():
     b = replay.Breaker(0.5, 3, 1)
     assert [b.call(0, False), b.call(0, True), b.call(2, True), b.call(3, True), b.call(4, True)] == [True, False, False, True, True]
     assert b.state == "closed"
+    b = replay.Breaker(0.3333, 1, 3)  # one failure of three probes is over the rate, which is not rounded
+    assert [b.call(0, False), b.call(0, True)] == [True, False]
+    assert [b.call(t, t != 2) for t in (1, 2, 3, 4)] == [True, True, True, False] and b.state == "open"
+    b.reset()
+    assert b.state == "closed" and b.call(4, True)
     for bad in ((0, 1, 1), (1.1, 1, 1), (0.5, 0, 1), (0.5, 1, 0)):
         with pytest.raises(ValueError):
             replay.Breaker(*bad)
@@ -255,12 +261,34 @@ def test_histories():
     h = replay.History(2)
     for op, s in (("save", "1"), ("save", "2"), ("save", "3"), ("undo", None)):
         h.apply(op, s)
-    assert h.state == "2"
+    assert h.state == "3"  # the save dropped a state, so the first undo leaves the state as it is
     h.apply("redo", None)
     assert h.state == "3"
     h.apply("undo", None)
+    assert h.state == "2"
     h.apply("undo", None)
     assert h.state == "2" and len(h.undo) == 0
+    h = replay.History(3, edit=str.upper)
+    for s in "abc":
+        h.apply("save", s)
+    h.apply("undo_n", None, 2)
+    assert h.state == "A" and (len(h.undo), len(h.redo)) == (1, 2)
+    with pytest.raises(IndexError):
+        h.apply("undo_n", None, 2)
+    h.apply("replace", "z")
+    assert h.state == "z" and not h.undo and not h.redo
+
+
+def test_running_aggregates_against_a_loop(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.randrange(100) if rng.random() < 0.9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i long, v long").repartition(5)
+    got = {r.i: (r.total, r.least) for r in ranking.running(df, ["i"], ["g"], {"total": F.coalesce("v", F.lit(0))}, {"least": F.col("v")}).collect()}
+    total, least = {}, {}
+    for g, i, v in rows:
+        total[g] = total.get(g, 0) + (v or 0)
+        least[g] = min([x for x in (least.get(g), v) if x is not None], default=None)
+        assert got[i] == (total[g], least[g])
 
 
 def test_elections(spark):
