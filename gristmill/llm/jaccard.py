@@ -31,11 +31,7 @@ SLACK = 1e-6
 #: Repeats of a document within so many of a task are sent once.
 SEEN = 100_000
 #: Shingles by which prefixes are longer than to share one: pairs must share one more than that.
-EXTRA = 3
-#: Rounds in which every node is held against one other of the nodes that it meets, before all that are still apart are.
-ROUNDS = 6
-#: A round is followed by another if one of FRUITFUL of its pairs links.
-FRUITFUL = 100
+EXTRA = 8
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -142,9 +138,9 @@ def _possible(similarity: float, a: Column, b: Column) -> Column:
 
 
 def _often(similarity: float, met: DataFrame) -> DataFrame:
-    """(a, b, n) of the pairs of met (a, b, a_span, b_span) that share as many prefix shingles as they must."""
+    """(a, b) of the pairs of met (a, b, a_span, b_span) that share as many prefix shingles as they must."""
     enough = F.min(F.least(F.lit(EXTRA + 1.0), _overlap(similarity, F.col("a_span"), F.col("b_span"))))
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), enough.alias("enough")).where("n >= enough").select("a", "b", "n")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), enough.alias("enough")).where("n >= enough").select("a", "b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -192,39 +188,22 @@ def missing(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, s
     """(node, root): for every node that pairs of the similarity connect to another, the least node that it reaches.
     links (a, b): verified links of any part of these pairs, such as those that fingerprints find.
 
-    Of the nodes that share a prefix shingle and that no link connects yet, each is held against one, in rounds, as
-    long as these connect many; then all that are still apart are held against each other. A large group of near
-    copies is connected by links and rounds, so its pairs are never made.
+    Nodes that share prefix shingles and that no link connects yet are held against each other. A large group of near
+    copies is connected by links, so most of its pairs are never made.
     """
     at = Window.partitionBy("token")
-    ids = cut(nodes.select(F.col("node").alias("n"), "id"))
 
     def several(df: DataFrame, name: str) -> DataFrame:
         ends = df.withColumns({"gm_lo": F.min(name).over(at), "gm_hi": F.max(name).over(at)})
         return ends.where("gm_lo <> gm_hi").drop("gm_lo", "gm_hi")
 
-    def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-        named = cut(roots.join(ids, F.col("node") == F.col("n")).select(F.col("id").alias("i"), F.xxhash64("root").alias("r")))
-        known = met.join(named, F.col("id") == F.col("i"), "left")
-        return several(known.select("token", "id", "span", F.coalesce("r", F.xxhash64("id")).alias("root")), "root")
-
-    def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
-        return cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
-
-    roots = cut(components(links))
+    roots = cut(components(links)).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    ids = nodes.select(F.col("node").alias("n"), "id")
+    named = cut(roots.join(ids, F.col("a") == F.col("n")).select(F.col("id").alias("i"), F.xxhash64("b").alias("r")))
     met = cut(several(_prefixes(docs, shingle, similarity), "id").distinct())
-    for k in range(ROUNDS):
-        hub = F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", "root", "span")).over(at)
-        beside = apart(met, roots).withColumn("hub", hub).where((F.col("hub.root") != F.col("root")) & _possible(similarity, F.col("span"), F.col("hub.span")))
-        met_often = _often(similarity, beside.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("span").alias("a_span"), F.col("hub.span").alias("b_span")))
-        one = cut(met_often.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
-        more = verified(one, nodes, docs, shingle, similarity)
-        found = more.count()
-        roots = joined(roots, more) if found else roots
-        if found * FRUITFUL < one.count():
-            break
-    rest = cut(apart(met, roots))
-    x, y = (rest.select("token", *[F.col(c).alias(n) for c, n in (("id", k), ("root", f"{k}_root"), ("span", f"{k}_span"))]) for k in "ab")
+    known = met.join(named, F.col("id") == F.col("i"), "left").select("token", "id", "span", F.coalesce("r", F.xxhash64("id")).alias("root"))
+    apart = cut(several(known, "root"))
+    x, y = (apart.select("token", *[F.col(c).alias(n) for c, n in (("id", k), ("root", f"{k}_root"), ("span", f"{k}_span"))]) for k in "ab")
     pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _possible(similarity, F.col("a_span"), F.col("b_span")))
-    pairs = cut(_often(similarity, pairs).select("a", "b"))
-    return joined(roots, verified(pairs, nodes, docs, shingle, similarity))
+    more = verified(cut(_often(similarity, pairs)), nodes, docs, shingle, similarity)
+    return components(cut(roots.union(more)))
