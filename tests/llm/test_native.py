@@ -84,6 +84,20 @@ def test_shards_match_the_mixture(spark, tables):
         assert all(abs(shares[k][s] - n * total[s] / len(rows)) <= 2 for s in total)
 
 
+def test_shards_agree_with_sql(spark, tmp_path):
+    rows = [(i, t, s) for i, t, s, _ in corpus()[:400]]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.shard, r.slot) for r in sharding.op10_sharding(spark, str(tmp_path)).collect()}
+    n = len(rows)
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(f"""
+      WITH d AS (SELECT doc_id, source, md5('{sharding.SEED}:' || doc_id) AS s FROM documents),
+      r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s, doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM d),
+      p AS (SELECT doc_id, row_number() OVER (ORDER BY (k * 2 + 1)::DOUBLE / (n * 2), s, doc_id) - 1 AS pos FROM r)
+      SELECT doc_id, pos * 24 // {n}, pos - (pos * 24 // {n} * {n} + 23) // 24 FROM p""").fetchall()
+    assert got == set(want)
+
+
 def test_sharded_documents_keep_every_row(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     out = sharding.shard_documents(docs, 5)

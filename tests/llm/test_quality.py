@@ -80,3 +80,41 @@ def test_query_and_filter(spark, tmp_path):
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted([0, *range(150)])
     assert quality.keep_documents(docs.limit(0)).count() == 0
+
+
+def plain_em(counts, n_rules, prior=0.9, strength=20.0, rounds=200):
+    """The same model by loops over documents' patterns, rules and votes."""
+    total = sum(counts.values())
+    share = [[sum(n for p, n in counts.items() if p[r] == str(k)) / total for k in range(3)] for r in range(n_rules)]
+
+    def start(bad):
+        return [[strength * share[r][0], strength * (1 - share[r][0]) * bad, strength * (1 - share[r][0]) * (1 - bad)] for r in range(n_rules)]
+
+    pseudo = [start(quality.RECALL), start(quality.FALSE_ALARM)]
+    theta = [[[x / sum(v) for x in v] for v in c] for c in pseudo]
+    p_good, good = prior, {}
+    for _ in range(rounds):
+        for p in counts:
+            like = [1 - p_good, p_good]
+            for c in (0, 1):
+                for r in range(n_rules):
+                    like[c] *= max(theta[c][r][int(p[r])], 1e-9)
+            good[p] = like[1] / sum(like)
+        weight = [{p: n * (1 - good[p]) for p, n in counts.items()}, {p: n * good[p] for p, n in counts.items()}]
+        for c in (0, 1):
+            for r in range(n_rules):
+                votes = [pseudo[c][r][k] + sum(w for p, w in weight[c].items() if p[r] == str(k)) for k in range(3)]
+                theta[c][r] = [v / sum(votes) for v in votes]
+        p_good = (sum(weight[1].values()) + prior * strength) / (total + strength)
+    return good
+
+
+def test_estimate_against_a_plain_version():
+    rng = random.Random(3)
+    counts = {}
+    for _ in range(3000):
+        bad = rng.random() < 0.3
+        p = "".join("0" if rng.random() < 0.2 else "1" if rng.random() < (0.6 if bad else 0.05) else "2" for _ in range(5))
+        counts[p] = counts.get(p, 0) + 1
+    got, want = quality.estimate(counts, 5), plain_em(counts, 5)
+    assert all(abs(got[p] - want[p]) < 1e-6 for p in counts)
