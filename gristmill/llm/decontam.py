@@ -9,7 +9,10 @@ bit-parallel edit distance with words as symbols.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ship, table
+from gristmill.llm.common import KEY, ROW, cut, keyed, ship, table
 from gristmill.llm.wordarrays import chunks, hashes, mixed, words
 
 SIMILARITY = 0.8
-#: Words of test items that are matched by one pass; more items make more blocks, each a column of the same scan.
+#: Words of test items that are matched by one pass over the texts; more items make more passes.
 BLOCK_WORDS = 2_000_000
 
 #: Words are runs of ASCII letters and digits and of any other character; case is folded.
@@ -153,41 +156,60 @@ def match(items: Items, texts: pa.Array) -> list[list[tuple[int, int, int, int]]
 
 
 HITS = "array<struct<item_id:bigint,distance:int,first_word:int,end_word:int>>"
+_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
 
-def hits(text: Column, benchmark: DataFrame, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> Column:
-    """Items that text holds within the error budget. benchmark: (item_id, text), the query set, which goes
-    to the workers in blocks of at most block_words words (or one item)."""
-    ship(benchmark.sparkSession)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
-    names = ["item_id", "distance", "first_word", "end_word"]
-
-    def column(block: list) -> Column:
-        items = prepare(block, similarity)
-
-        @F.arrow_udf(HITS)
-        def run(texts: pa.Array) -> pa.Array:
-            return pa.array([[dict(zip(names, h)) for h in row] for row in match(items, texts)], kind)
-
-        return run(text)
-
-    columns, block, held = [], [], 0
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
+    """The items (item_id, text) in lists of at most block_words words, or of one item; those without an id are left out.
+    The driver holds one list and one partition of the items at a time."""
+    block, held = [], 0
     for row in benchmark.where("item_id IS NOT NULL").select("item_id", "text").toLocalIterator():
         n = len((row["text"] or "").split()) + 1
         if block and held + n > block_words:
-            columns.append(column(block))
+            yield block
             block, held = [], 0
         block.append((row["item_id"], row["text"]))
         held += n
     if block:
-        columns.append(column(block))
-    return F.array_sort(F.concat(*columns)) if columns else F.array().cast(HITS)
+        yield block
+
 
+def held(text: Column, block: list[tuple[int, str | None]], similarity: float = SIMILARITY) -> Column:
+    """The items of one block that text holds within the error budget."""
+    items = prepare(block, similarity)
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    @F.arrow_udf(HITS)
+    def run(texts: pa.Array) -> pa.Array:
+        names = ["item_id", "distance", "first_word", "end_word"]
+        return pa.array([[dict(zip(names, h)) for h in row] for row in match(items, texts)], _HIT)
+
+    return run(text)
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """ROW, all columns of docs, and gm_hits, the items that its text holds, by item_id.
+
+    Items of one block are matched where the text is read. Further blocks are matched one after the other, each by a pass
+    of its own whose hits alone are kept, so that a worker and the driver hold one block, however many items there are.
+    """
+    ship(docs.sparkSession)
+    found = blocks(benchmark, block_words)
+    first, second = next(found, None), next(found, None)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)
+    if second is None:
+        some = F.array_sort(held(F.col("text"), first, similarity)) if first else F.array().cast(HITS)
+        return docs.select(whole, some.alias("gm_hits"))
+    rows, passes = keyed(docs), []
+    for block in chain([first, second], found):
+        hit = rows.select(*KEY[1:], held(F.col(f"{ROW}.text"), block, similarity).alias("gm_hits")).where(F.size("gm_hits") > 0)
+        passes.append(cut(hit.dropDuplicates(KEY[1:])))
+    every = reduce(DataFrame.unionAll, passes).groupBy(*KEY[1:]).agg(F.array_sort(F.flatten(F.collect_list("gm_hits"))).alias("gm_hits"))
+    return rows.join(every, KEY[1:], "left").select(ROW, F.coalesce("gm_hits", F.array().cast(HITS)).alias("gm_hits"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents of docs that hold no test item."""
-    found = docs.withColumn("gm_hits", hits(F.col("text"), benchmark, similarity))
-    return found.where(F.size("gm_hits") == 0).drop("gm_hits")
+    return with_hits(docs, benchmark, similarity, block_words).where(F.size("gm_hits") == 0).select(f"{ROW}.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +219,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items of equal words are matched alike, each under its own id. Texts of any length are searched whole; without
     documents the result is empty, without items nothing is held; other columns are not read.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", hits(F.col("text"), table(spark, sf_dir, "benchmark")).alias("hits"))
+    docs = with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return docs.select(
-        "doc_id", (F.size("hits") > 0).alias("contaminated"), F.col("hits.item_id").alias("item_ids"),
-        F.col("hits.distance").alias("distances"), "hits",
+        f"{ROW}.doc_id", (F.size("gm_hits") > 0).alias("contaminated"), F.col("gm_hits.item_id").alias("item_ids"),
+        F.col("gm_hits.distance").alias("distances"), F.col("gm_hits").alias("hits"),
     )

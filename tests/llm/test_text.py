@@ -73,7 +73,9 @@ def test_decontamination_query(spark, tmp_path):
     ]
     out = decontam.clean_documents(docs, bench)
     assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 3, 3, 5]
-    assert docs.select(decontam.hits(docs.text, bench, block_words=5).alias("h")).where("size(h) > 0").count() == 2
+    one, many = (sorted(map(str, decontam.with_hits(docs, bench, block_words=n).collect())) for n in (decontam.BLOCK_WORDS, 5))
+    assert one == many
+    assert sorted(map(str, decontam.clean_documents(docs, bench, block_words=5).collect())) == sorted(map(str, out.collect()))
     assert decontam.clean_documents(docs, bench.limit(0)).count() == len(rows)
     assert decontam.clean_documents(docs.limit(0), bench).count() == 0
 
