@@ -1,10 +1,11 @@
 """Exact Jaccard similarity of shingle sets: verification of candidate pairs, and a prefix filter for what fingerprints miss.
 
 The shingles of all sets are put in one order. Of two sets whose similarity is t at least, the first
-n - ceil(t * n) + 1 + e shingles of either (n: its size) share e + 1, or all that such sets must have in common if these
-are fewer, so the pairs that meet at so many shared prefix shingles are all that can link. At the first ones they share,
-sizes and positions bound their overlap. Pairs that pass are held against each other by counts of their shingles in
-cells, which bound the difference from below, and the rest by the sets themselves. No bound drops a pair of similarity t.
+n - ceil(t * n) + 1 shingles of either (n: its size) share one, so the pairs that meet at a shared prefix shingle are all
+that can link. At the first one they share, sizes and positions bound their overlap. The same bound, with the least size
+at a shingle in place of a partner's, takes out the sets that have no partner there before any pair is made. Pairs that
+pass are held against each other by counts of their shingles in cells, which bound the difference from below, and the rest
+by the sets themselves. No bound drops a pair of similarity t.
 
 Shingles that many documents hold come last in the order, which keeps the groups small; any order gives the same links.
 """
@@ -30,8 +31,8 @@ EVERY, COMMON, MOST = 25, 4, 1 << 20
 SLACK = 1e-6
 #: Repeats of a document within so many of a task are sent once.
 SEEN = 100_000
-#: Shingles by which prefixes are longer than to share one: pairs must share one more than that.
-EXTRA = 8
+#: Sets whose sizes lie within this ratio have one hub at a shingle. It decides which pairs come first, not what links.
+BAND = 1.25
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -101,7 +102,7 @@ def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                         seen.clear()
                     seen.add(node)
                     last = np.isin(s, late.value, assume_unique=True)
-                    take = len(s) - math.ceil(similarity * len(s) - SLACK) + 1 + EXTRA
+                    take = len(s) - math.ceil(similarity * len(s) - SLACK) + 1
                     tokens.append(np.concatenate([s[~last], s[last]])[:take])
                     nodes.append(node)
                     sizes.append(len(s))
@@ -125,22 +126,54 @@ def _size(span: Column) -> Column:
     return F.shiftright(span, 32)
 
 
+def _rest(span: Column) -> Column:
+    """Shingles of a set from its place in the order on."""
+    return _size(span) - span.bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def _overlap(similarity: float, a: Column, b: Column) -> Column:
-    """The least overlap of two sets, by their spans, that makes up the similarity."""
-    return similarity / (1 + similarity) * (_size(a) + _size(b)) - SLACK
+    """The least overlap of two sets of sizes a and b that makes up the similarity."""
+    return similarity / (1 + similarity) * (a + b) - SLACK
 
 
 def _possible(similarity: float, a: Column, b: Column) -> Column:
-    """Whether sizes and positions leave room for the similarity, at one of the first EXTRA + 1 shared shingles."""
-    size, pos = [_size(x) for x in (a, b)], [x.bitwiseAND(F.lit((1 << 32) - 1)) for x in (a, b)]
-    overlap = F.least(size[0] - pos[0], size[1] - pos[1]) + EXTRA
-    return (F.least(*size) >= similarity * F.greatest(*size) - SLACK) & (overlap >= _overlap(similarity, a, b))
+    """Whether sizes and positions leave room for the similarity, at the first shared shingle."""
+    size = [_size(x) for x in (a, b)]
+    return (F.least(*size) >= similarity * F.greatest(*size) - SLACK) & (F.least(_rest(a), _rest(b)) >= _overlap(similarity, *size))
+
+
+def _several(df: DataFrame, name: str) -> DataFrame:
+    """The rows of shingles at which several values of a column meet."""
+    at = Window.partitionBy("token")
+    ends = df.withColumns({"gm_lo": F.min(name).over(at), "gm_hi": F.max(name).over(at)})
+    return ends.where("gm_lo <> gm_hi").drop("gm_lo", "gm_hi")
+
+
+def _roomy(met: DataFrame, similarity: float) -> DataFrame:
+    """The rows whose set has room for the similarity with a set of the least size at the shingle: _possible is false for
+    the others, whomever they meet there."""
+    size, least = _size(F.col("span")), F.min(_size(F.col("span"))).over(Window.partitionBy("token"))
+    partner = F.greatest(least, similarity * size - SLACK)
+    room = met.withColumn("gm_room", _rest(F.col("span")) >= _overlap(similarity, size, partner) - SLACK)
+    return room.where("gm_room").drop("gm_room")
 
 
-def _often(similarity: float, met: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of met (a, b, a_span, b_span) that share as many prefix shingles as they must."""
-    enough = F.min(F.least(F.lit(EXTRA + 1.0), _overlap(similarity, F.col("a_span"), F.col("b_span"))))
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), enough.alias("enough")).where("n >= enough").select("a", "b")
+def _with_hubs(apart: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every set with the hub of its band of sizes at each shingle, if they are not connected: the set that has
+    most left there, as the one that edits have changed least does. These are no more pairs than rows."""
+    banded = apart.withColumn("band", F.floor(F.log(BAND, _size(F.col("span")))))
+    first = F.max(F.struct(_rest(F.col("span")).alias("rest"), "id", "span", "root"))
+    hubs = banded.groupBy(F.col("token").alias("h_token"), F.col("band").alias("h_band")).agg(first.alias("hub"))
+    met = banded.join(hubs, (F.col("token") == F.col("h_token")) & (F.col("band") == F.col("h_band")))
+    met = met.where((F.col("root") != F.col("hub.root")) & _possible(similarity, F.col("span"), F.col("hub.span")))
+    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
+def _all_pairs(apart: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), once for each shingle that they share: all pairs that can link and are not connected."""
+    x, y = (apart.select("token", *[F.col(c).alias(n) for c, n in (("id", k), ("root", f"{k}_root"), ("span", f"{k}_span"))]) for k in "ab")
+    can = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _possible(similarity, F.col("a_span"), F.col("b_span"))
+    return x.join(y, "token").where(can).select("a", "b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -188,22 +221,23 @@ def missing(docs: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, s
     """(node, root): for every node that pairs of the similarity connect to another, the least node that it reaches.
     links (a, b): verified links of any part of these pairs, such as those that fingerprints find.
 
-    Nodes that share prefix shingles and that no link connects yet are held against each other. A large group of near
-    copies is connected by links, so most of its pairs are never made.
+    Nodes that share prefix shingles and that no link connects yet are held against each other: first, in a number of
+    pairs that grows with the rows, against hubs, to which most of a large group of near copies links; then the nodes
+    that are not connected even so, in all pairs that the bounds leave.
     """
-    at = Window.partitionBy("token")
+    ids = cut(nodes.select(F.col("node").alias("n"), "id"))
 
-    def several(df: DataFrame, name: str) -> DataFrame:
-        ends = df.withColumns({"gm_lo": F.min(name).over(at), "gm_hi": F.max(name).over(at)})
-        return ends.where("gm_lo <> gm_hi").drop("gm_lo", "gm_hi")
+    def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+        named = cut(roots.join(ids, F.col("a") == F.col("n")).select(F.col("id").alias("i"), F.xxhash64("b").alias("r")))
+        known = met.join(named, F.col("id") == F.col("i"), "left")
+        return cut(_several(known.select("token", "id", "span", F.coalesce("r", F.xxhash64("id")).alias("root")), "root"))
 
-    roots = cut(components(links)).select(F.col("node").alias("a"), F.col("root").alias("b"))
-    ids = nodes.select(F.col("node").alias("n"), "id")
-    named = cut(roots.join(ids, F.col("a") == F.col("n")).select(F.col("id").alias("i"), F.xxhash64("b").alias("r")))
-    met = cut(several(_prefixes(docs, shingle, similarity), "id").distinct())
-    known = met.join(named, F.col("id") == F.col("i"), "left").select("token", "id", "span", F.coalesce("r", F.xxhash64("id")).alias("root"))
-    apart = cut(several(known, "root"))
-    x, y = (apart.select("token", *[F.col(c).alias(n) for c, n in (("id", k), ("root", f"{k}_root"), ("span", f"{k}_span"))]) for k in "ab")
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _possible(similarity, F.col("a_span"), F.col("b_span")))
-    more = verified(cut(_often(similarity, pairs)), nodes, docs, shingle, similarity)
+    def connected(links: DataFrame) -> DataFrame:
+        return cut(components(links)).select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    roots = connected(links)
+    met = apart(cut(_roomy(_several(_prefixes(docs, shingle, similarity), "id"), similarity).distinct()), roots)
+    roots = connected(roots.union(verified(cut(_with_hubs(met, similarity)), nodes, docs, shingle, similarity)))
+    met = apart(met.drop("root"), roots)
+    more = verified(cut(_all_pairs(met, similarity).distinct()), nodes, docs, shingle, similarity)
     return components(cut(roots.union(more)))

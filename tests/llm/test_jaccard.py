@@ -1,6 +1,6 @@
 import random
 
-from gristmill.llm import simhash
+from gristmill.llm import jaccard, simhash
 
 
 def grams(text):
@@ -58,3 +58,31 @@ def test_boundary_of_the_similarity(spark):
     rows = [(1, " ".join(base)), (2, " ".join(at)), (3, " ".join(under))]
     out = simhash.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in out.collect()} == {1, 3}
+
+
+def near_copies(n):
+    """Copies of one text with 0 to 9 words of their own: those of few link, the others are near but link to none."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(10) if k else 0):
+            w[at] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    texts, asked, verified = near_copies(400), [], jaccard.verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = survivors(texts)
+    assert {r.doc_id for r in simhash.dedup_documents(docs).collect()} == want
+    assert 100 < len(want) < 300
+    assert sum(asked[1:]) < 4 * len(texts)  # what the prefix filter asks for; all pairs are 79,800
