@@ -69,10 +69,12 @@ def _universe(b: int) -> int:
     return 1 << b
 
 
-def bits_of(df: DataFrame, idx: str, b: int = 16) -> DataFrame:
-    """(idx): the distinct indices as BIGINT; an index outside [0, 2^b) fails the query."""
-    top = _universe(b)
+def bits_of(df: DataFrame, idx: str, b: int | None = 16) -> DataFrame:
+    """(idx): the distinct indices as BIGINT; an index outside [0, 2^b) fails the query. Without b, any index counts."""
     i = F.col(idx).cast("bigint")
+    if b is None:
+        return df.where(i.isNotNull()).select(i.alias("idx")).distinct()
+    top = _universe(b)
     checked = F.when((i >= 0) & (i < top), i).otherwise(F.raise_error(F.concat(F.lit("index out of range: "), i.cast("string"))).cast("bigint"))
     return df.where(i.isNotNull()).select(checked.alias("idx")).distinct()
 

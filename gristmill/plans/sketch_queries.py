@@ -162,7 +162,8 @@ USED_B = 12
 
 
 def _supp(spark, d, flag):
-    return membership.bits_of(table(spark, d, "lineitem").where(F.col("l_returnflag") == flag), "l_suppkey", USED_B)
+    """The suppliers of a flag, however many the table has; USED_B bounds only what a query asks of them."""
+    return membership.bits_of(table(spark, d, "lineitem").where(F.col("l_returnflag") == flag), "l_suppkey", None)
 
 
 def bitmap_union(spark, d):
