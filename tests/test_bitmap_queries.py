@@ -29,3 +29,11 @@ def test_complement(spark, tmp_path):
     suppliers(spark, tmp_path, [0, 7, 7, 4095, 4096, BIG], [3])
     got = same_as_sql(spark, tmp_path, "bitmap_complement")
     assert len(got) == 4093 and (1,) in got and (4095,) not in got
+
+
+def test_contains(spark, tmp_path):
+    for name, asked, found in (("in", [15, 4096, BIG], True), ("out", [15, 5000], False)):
+        d = tmp_path / name
+        suppliers(spark, d, [1, 15, 4096, BIG], [5000])
+        put(spark, d, "supplier", "s_suppkey long", [(k,) for k in asked])
+        assert same_as_sql(spark, d, "bitmap_contains") == [(found,)]
