@@ -37,3 +37,8 @@ def test_contains(spark, tmp_path):
         suppliers(spark, d, [1, 15, 4096, BIG], [5000])
         put(spark, d, "supplier", "s_suppkey long", [(k,) for k in asked])
         assert same_as_sql(spark, d, "bitmap_contains") == [(found,)]
+
+
+def test_delete(spark, tmp_path):
+    suppliers(spark, tmp_path, [1, 15, 4095, 4096, BIG], [15, 4096, 5000])
+    assert same_as_sql(spark, tmp_path, "bitmap_delete") == [(1,), (4095,), (BIG,)]
