@@ -42,3 +42,9 @@ def test_contains(spark, tmp_path):
 def test_delete(spark, tmp_path):
     suppliers(spark, tmp_path, [1, 15, 4095, 4096, BIG], [15, 4096, 5000])
     assert same_as_sql(spark, tmp_path, "bitmap_delete") == [(1,), (4095,), (BIG,)]
+
+
+def test_equals(spark, tmp_path):
+    for name, r, equal in (("same", [BIG, 4096, 15, 15], True), ("other", [15, 4096, BIG + 1], False)):
+        suppliers(spark, tmp_path / name, [15, 4096, BIG], r)
+        assert same_as_sql(spark, tmp_path / name, "bitmap_equals") == [(equal,)]
