@@ -48,3 +48,8 @@ def test_equals(spark, tmp_path):
     for name, r, equal in (("same", [BIG, 4096, 15, 15], True), ("other", [15, 4096, BIG + 1], False)):
         suppliers(spark, tmp_path / name, [15, 4096, BIG], r)
         assert same_as_sql(spark, tmp_path / name, "bitmap_equals") == [(equal,)]
+
+
+def test_intersect(spark, tmp_path):
+    suppliers(spark, tmp_path, [1, 15, 4096, BIG, BIG + 1], [15, 4096, 5000, BIG])
+    assert same_as_sql(spark, tmp_path, "bitmap_intersect") == [(15,), (4096,), (BIG,)]
