@@ -53,3 +53,9 @@ def test_equals(spark, tmp_path):
 def test_intersect(spark, tmp_path):
     suppliers(spark, tmp_path, [1, 15, 4096, BIG, BIG + 1], [15, 4096, 5000, BIG])
     assert same_as_sql(spark, tmp_path, "bitmap_intersect") == [(15,), (4096,), (BIG,)]
+
+
+def test_range(spark, tmp_path):
+    suppliers(spark, tmp_path, [0, 15, 299, 4096, BIG], [3])
+    got = same_as_sql(spark, tmp_path, "bitmap_range")
+    assert len(got) == 291 and {(0,), (4096,), (BIG,)} <= set(got) and (15,) not in got
