@@ -59,3 +59,8 @@ def test_range(spark, tmp_path):
     suppliers(spark, tmp_path, [0, 15, 299, 4096, BIG], [3])
     got = same_as_sql(spark, tmp_path, "bitmap_range")
     assert len(got) == 291 and {(0,), (4096,), (BIG,)} <= set(got) and (15,) not in got
+
+
+def test_union(spark, tmp_path):
+    suppliers(spark, tmp_path, [1, 4096, BIG], [1, 5000, BIG, BIG + 1])
+    assert same_as_sql(spark, tmp_path, "bitmap_union") == [(1,), (4096,), (5000,), (BIG,), (BIG + 1,)]
