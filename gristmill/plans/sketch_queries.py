@@ -179,8 +179,8 @@ def _nations(spark, d, name):
 
 
 def bitmap_xor(spark, d):
-    x = membership.bits_of(table(spark, d, "customer").where("c_acctbal < 0"), "c_custkey", 16)
-    y = membership.bits_of(table(spark, d, "orders").where("o_orderstatus = 'F'"), "o_custkey", 16)
+    x = membership.bits_of(table(spark, d, "customer").where("c_acctbal < 0"), "c_custkey", None)
+    y = membership.bits_of(table(spark, d, "orders").where("o_orderstatus = 'F'"), "o_custkey", None)
     return membership.bit_xor(x, y)
 
 

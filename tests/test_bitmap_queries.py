@@ -64,3 +64,9 @@ def test_range(spark, tmp_path):
 def test_union(spark, tmp_path):
     suppliers(spark, tmp_path, [1, 4096, BIG], [1, 5000, BIG, BIG + 1])
     assert same_as_sql(spark, tmp_path, "bitmap_union") == [(1,), (4096,), (5000,), (BIG,), (BIG + 1,)]
+
+
+def test_xor(spark, tmp_path):
+    put(spark, tmp_path, "customer", "c_custkey long, c_acctbal double", [(2, -1.0), (65536, -1.0), (BIG, -5.0), (70000, -2.0), (9, 3.0)])
+    put(spark, tmp_path, "orders", "o_custkey long, o_orderstatus string", [(2, "F"), (BIG, "F"), (BIG, "F"), (80000, "F"), (70000, "O")])
+    assert same_as_sql(spark, tmp_path, "bitmap_xor") == [(65536,), (70000,), (80000,)]
